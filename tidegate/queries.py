@@ -1,4 +1,4 @@
 """Registry of the inspection queries and their oracle SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from tidegate.suites import texts  # noqa: F401
+from tidegate.suites.common import ORACLE, QUERIES  # noqa: F401
