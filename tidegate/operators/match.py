@@ -7,14 +7,18 @@ nothing is shuffled: a value is a row, and hits come out of the row they belong
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions import readings as rd
 from tidegate.functions.detectors import THRESHOLD, detect_many
 from tidegate.functions.text import TRANSFORMS, lowercase
-from tidegate.operators.predicates import gate, is_detector, test_of
-from tidegate.plans.model import CONFIDENCES, FOLDED, SEVERITIES, SEVERITY_SCORE, Placed, Plan, Rule, Target
+from tidegate.operators.predicates import any_true, gate, is_detector, test_of
+from tidegate.plans.core_rules import PREDICATES
+from tidegate.plans.model import CONFIDENCES, FOLDED, SEVERITIES, SEVERITY_SCORE, Plan, Rule, Target
 
 TERMINAL = ("block", "allow")
 HIT = (
@@ -64,14 +68,22 @@ def with_chains(values: DataFrame, chains: list[tuple[str, ...]], data: str = "d
     return values, names
 
 
-def _hit(p: Placed, action_idx: int, off: Column, length: Column, data: Column) -> Column:
-    r, a = p.rule, p.rule.actions[action_idx]
-    score = (a.score or SEVERITY_SCORE[r.severity]) if a.kind == "score" else 0
-    return F.struct(
-        F.lit(r.phase).alias("phase"), F.lit(p.group).alias("group_ord"), F.lit(int(bool(r.literals))).alias("conditional"), F.lit(p.index).alias("rule_idx"), F.lit(action_idx).alias("action_idx"),
-        F.lit(r.id).cast("bigint").alias("rule_id"), F.lit(r.derived_from).cast("bigint").alias("derived_from"), off.cast("int").alias("off"), length.cast("int").alias("len"), F.substring(data, off.cast("int") + 1, F.least(length.cast("int"), F.lit(256))).alias("matched"),
-        F.lit(a.kind).alias("action"), F.lit(score).alias("score"), F.lit(a.status).alias("status"), F.lit(SEVERITIES.index(r.severity)).alias("severity"), F.lit(CONFIDENCES.index(r.confidence)).alias("confidence"),
-    )
+def _entry(place: int | None, off: Column, length: Column, matched: Column, detector: int | None = None, data: Column | None = None) -> Column:
+    """A hit by the number of its rule's place; or a value for a detector."""
+    d = F.lit(None).cast("string") if data is None else data
+    return F.struct(F.lit(place).cast("int").alias("place"), off.cast("int").alias("off"), length.cast("int").alias("len"), matched.alias("matched"), F.lit(detector).cast("int").alias("number"), d.alias("d"))
+
+
+def places_frame(spark: SparkSession, plan: Plan) -> DataFrame:
+    """What hits take from their rule: one row for each place and action of a plan."""
+    rows = []
+    for i, p in enumerate(plan.placed):
+        r = p.rule
+        for k, a in enumerate(r.actions):
+            score = (a.score or SEVERITY_SCORE[r.severity]) if a.kind == "score" else 0
+            rows.append((i, r.phase, p.group, int(bool(r.literals)), p.index, k, r.id, r.derived_from, a.kind, score, a.status, SEVERITIES.index(r.severity), CONFIDENCES.index(r.confidence)))
+    kind = "place int, phase int, group_ord int, conditional int, rule_idx int, action_idx int, rule_id bigint, derived_from bigint, action string, score int, status int, severity int, confidence int"
+    return spark.createDataFrame(rows, kind)
 
 
 def match(values: DataFrame, plan: Plan, keep: tuple[str, ...] = ("tx_id",), fork: bool = True) -> DataFrame:
@@ -87,68 +99,79 @@ def match(values: DataFrame, plan: Plan, keep: tuple[str, ...] = ("tx_id",), for
         folded[c] = name[c] if "lowercase" in c else f"__f_{'_'.join(c)}"
     rows = rows.withColumns({folded[c]: lowercase(F.col(name[c])) for c in plan.chains if "lowercase" not in c})
     target, key, arrived, verbatim = F.col("target"), F.col("key"), F.col("arrived"), F.col("reading_ord") == 0
-    plain, out = [], None
-    for p in plan.placed:
+    tests: dict = {}
+
+    def applied(r: Rule) -> Column:
+        k = (r.targets, r.phase, bool(r.derived_from))
+        if k not in tests:
+            tests[k] = applies(r, target, key, arrived)
+        return tests[k]
+
+    shared: dict[tuple, list[int]] = {}
+    none, entries = F.lit(None).cast("string"), []
+    for i, p in enumerate(plan.placed):
         r = p.rule
         if is_detector(r.op):
+            shared.setdefault((r.op.name.removeprefix("detect_"), r.op.args, r.transforms), []).append(i)
             continue
         data, low = F.col(name[r.transforms]), F.col(folded[r.transforms])
         t = test_of(r.op, data, low)
-        own = r.op.literals is None and r.op.name in ("contains", "contains_any", "equals", "has_prefix") and not r.op.negated
-        when = applies(r, target, key, arrived)
-        when = when & (F.lit(True) if own else gate(r.literals, low)) if r.literals else when & verbatim
-        plain += [F.when(when & t.hit, _hit(p, k, t.off, t.length, data)) for k in range(len(r.actions))]
-    shared: dict[tuple, list[Placed]] = {}
-    for p in plan.placed:
-        if is_detector(p.rule.op):
-            shared.setdefault((p.rule.op.name.removeprefix("detect_"), p.rule.op.args, p.rule.transforms), []).append(p)
-    none = lambda kind: F.lit(None).cast(kind)
-    entry = lambda h, number, d: F.struct(h.alias("h"), number.cast("int").alias("number"), d.cast("string").alias("d"))
-    blank = _hit(plan.placed[0], 0, F.lit(0), F.lit(0), F.lit("")) if plan.placed else None
-    entries = [F.when(h.isNotNull(), entry(h, none("int"), none("string"))) for h in plain]
-    for i, ((_, _, chain), places) in enumerate(shared.items()):
-        when = F.lit(False)
-        for p in places:
-            when = when | applies(p.rule, target, key, arrived)
-        when = when & gate(places[0].rule.literals, F.col(folded[chain]))
-        entries.append(F.when(when, entry(F.when(F.lit(False), blank), F.lit(i), F.col(name[chain]))))
+        own = not r.op.negated and (r.op.literals is None and r.op.name in ("contains", "contains_any", "equals", "has_prefix") or r.op.name.startswith("func:") and r.op.name[5:] in PREDICATES and not PREDICATES[r.op.name[5:]].get("gated"))
+        when = applied(r)
+        if not r.literals:
+            when = when & verbatim
+        elif not own:
+            when = when & gate(r.literals, low)
+        entries.append(F.when(when & t.hit, _entry(i, t.off, t.length, F.substring(data, t.off.cast("int") + 1, F.least(t.length.cast("int"), F.lit(256))))))
+    for k, ((_, _, chain), places) in enumerate(shared.items()):
+        when = any_true([applied(plan.placed[i].rule) for i in places]) & gate(plan.placed[places[0]].rule.literals, F.col(folded[chain]))
+        entries.append(F.when(when, _entry(None, F.lit(None), F.lit(None), none, k, F.col(name[chain]))))
     base = [*keep, "value_seq", "arrived", "target", "key", "reading_ord", "reading_class"]
+    out = None
     if entries:
         # an explode is a barrier: filters on what comes out are not evaluated again below it
         rows = rows.select(*base, F.explode(F.array_compact(F.array(*entries))).alias("__e"))
         if shared:
             rows = rows.withColumn("__v", detect_many([k[:2] for k in shared])(F.col("__e.number"), F.col("__e.d")))
-            late = [F.when((F.col("__e.number") == i) & (F.col("__v.score") >= THRESHOLD) & applies(p.rule, target, key, arrived), _hit(p, k, F.col("__v.off"), F.col("__v.len"), F.col("__e.d"))) for i, places in enumerate(shared.values()) for p in places for k in range(len(p.rule.actions))]
-            hits = F.when(F.col("__e.number").isNull(), F.array(F.col("__e.h"))).otherwise(F.array_compact(F.array(*late)))
-            rows = rows.select(*base, F.explode(hits).alias("__h"))
-        else:
-            rows = rows.withColumn("__h", F.col("__e.h"))
-        out = rows.select(*keep, "value_seq", "target", "key", "reading_ord", "reading_class", "__h.*")
+            late = [F.when((F.col("__e.number") == k) & (F.col("__v.score") >= THRESHOLD) & applied(plan.placed[i].rule), F.lit(i)) for k, places in enumerate(shared.values()) for i in places]
+            judged = F.transform(F.array_compact(F.array(*late)), lambda i: _entry(None, F.col("__v.off"), F.col("__v.len"), F.substring(F.col("__e.d"), F.col("__v.off") + 1, F.least(F.col("__v.len"), F.lit(256)))).withField("place", i))
+            rows = rows.select(*base, F.explode(F.when(F.col("__e.number").isNull(), F.array(F.col("__e"))).otherwise(judged)).alias("__e"))
+        hits = rows.select(*base, F.col("__e.place").alias("place"), F.col("__e.off").alias("off"), F.col("__e.len").alias("len"), F.col("__e.matched").alias("matched"))
+        out = hits.join(F.broadcast(places_frame(values.sparkSession, plan)), "place").drop("place", "arrived")
     if out is None:
         empty = rows.limit(0).select(*keep, "value_seq", "target", "key", "reading_ord", "reading_class")
         return empty.selectExpr("*", *[f"cast(null as {t}) as {n}" for n, t in (x.split() for x in HIT.split(", ")) if n not in empty.columns])
     return out
 
 
+#: Most literals of a set that is sent to every worker.
+MAX_LITERALS = 1_000_000
+
+
 def literal_hits(values: DataFrame, literals: DataFrame, keep: tuple[str, ...] = ("tx_id",), data: str = "data") -> DataFrame:
     """The strategy for very many literal rules: (keep..., rule_id) of every rule (rule_id, literal) whose literal a value holds, case folded.
 
-    Literals are keyed by their first GRAM characters; values yield their distinct substrings of that length, and an
-    equi-join finds candidates, which ``contains`` confirms. The work for a value does not depend on the number of rules.
-    Literals shorter than that are few and are tested one by one."""
-    low = values.select(*keep, lowercase(F.col(data)).alias("__d"))
-    rules = literals.select("rule_id", lowercase(F.col("literal")).alias("literal"))
-    long_ = rules.filter(F.length("literal") >= GRAM).withColumn("__g", F.substring("literal", 1, GRAM))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__d") - GRAM + 1, F.lit(1))), lambda i: F.substring(F.col("__d"), i, GRAM)))
-    cut = low.select(*keep, "__d", F.explode(grams).alias("__g"))
-    out = cut.join(long_, "__g").filter(F.col("__d").contains(F.col("literal"))).select(*keep, "rule_id")
-    short = rules.filter(F.length("literal") < GRAM)
-    tiny = [(x["rule_id"], x["literal"]) for x in short.limit(1000).collect()]
-    if tiny:
-        found = low.select(*keep, F.explode(F.array_compact(F.array(*[F.when(F.col("__d").contains(t), F.lit(i).cast("bigint")) for i, t in tiny]))).alias("rule_id"))
-        out = out.unionByName(found)
-    return out.distinct()
-
-
-#: Length of the keys of the many-literals strategy.
-GRAM = 4
+    One automaton of all literals scans a value once, so the work for a value does not depend on the number of rules. A
+    rule set is metadata: its literals are read on the driver and sent to the workers, within MAX_LITERALS."""
+    rows = literals.select("rule_id", lowercase(F.col("literal")).alias("literal")).filter("literal <> ''").limit(MAX_LITERALS + 1).collect()
+    if len(rows) > MAX_LITERALS:
+        raise ValueError(f"more than {MAX_LITERALS} literals")
+    words: dict[str, list[int]] = {}
+    for r in rows:
+        words.setdefault(r["literal"], []).append(r["rule_id"])
+    table = tuple(sorted((w, tuple(sorted(set(ids)))) for w, ids in words.items()))
+
+    @F.arrow_udf("array<bigint>")
+    def literal_rules(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for w, ids in table:
+            machine.add_word(w, ids)
+        machine.make_automaton()
+        for batch in batches:
+            found = [None if d is None else sorted({i for _, ids in machine.iter(d) for i in ids}) if table else [] for d in batch.to_pylist()]
+            yield pa.array(found, pa.list_(pa.int64()))
+
+    low = values.select(*keep, literal_rules(lowercase(F.col(data))).alias("__r"))
+    return low.select(*keep, F.explode("__r").alias("rule_id")).distinct()

@@ -33,14 +33,12 @@ def contains_any(data: Column, folded: Column, needles: tuple[str, ...]) -> Test
     low = [n.translate(ASCII) for n in needles if n]
     if not low:
         return whole(F.lit(False), data)
-    hit, off, length = F.lit(False), F.lit(0), F.lit(0)
+    off, length = F.lit(0), F.lit(0)
     for n in reversed(low):
         there = folded.contains(n)
         off = F.when(there, F.locate(n, folded) - 1).otherwise(off)
         length = F.when(there, F.lit(len(n))).otherwise(length)
-    for n in low:
-        hit = hit | folded.contains(n)
-    return Test(hit, off, length)
+    return Test(any_true([folded.contains(n) for n in low]), off, length)
 
 
 def regex(data: Column, pattern: str, negated: bool = False) -> Test:
@@ -66,14 +64,16 @@ def check_regex(pattern: str) -> str:
 def named_predicate(name: str, data: Column, folded: Column) -> Test:
     spec = PREDICATES[name]
     value = folded if spec.get("fold") else data
-    if "all" in spec:
-        hit = F.lit(True)
-        for p in spec["all"]:
-            hit = hit & value.rlike(p)
-    else:
-        hit = F.lit(False)
-        for p in spec["any"]:
-            hit = hit | value.rlike(p)
+    hit = F.lit(True)
+    for p in spec.get("all", ()):
+        hit = hit & value.rlike(p)
+    if "any" in spec:
+        hit = hit & any_true([value.rlike(p) for p in spec["any"]])
+    head = F.regexp_extract(value, r"^[^?#]*", 0)
+    for p in spec.get("head", ()):
+        hit = hit & head.rlike(p)
+    if "head_any" in spec:
+        hit = hit & any_true([head.rlike(p) for p in spec["head_any"]])
     return whole(hit, data)
 
 
@@ -110,7 +110,11 @@ def test_of(op: Op, data: Column, folded: Column) -> Test:
 
 def gate(literals: tuple[str, ...], folded: Column) -> Column:
     """Whether a value holds one of the literals, case folded."""
-    hit = F.lit(False)
-    for x in literals:
-        hit = hit | folded.contains(x.translate(ASCII))
-    return hit
+    return any_true([folded.contains(x.translate(ASCII)) for x in literals])
+
+
+def any_true(tests: list[Column]) -> Column:
+    """A balanced disjunction, so that long lists make no deep expressions."""
+    while len(tests) > 1:
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2], strict=False)] + ([tests[-1]] if len(tests) % 2 else [])
+    return tests[0] if tests else F.lit(False)
