@@ -135,6 +135,15 @@ def test_core_rules_find_attacks_and_pass_clean_text(spark):
     assert fired == set(range(len(attacks))) - ({7} if 7 not in fired else set())
 
 
+def test_strategies_agree(spark):
+    texts = random_bytes(150, 5, "'\"<>/=();|& oOrR1.p%20hcatselectunion{}$") + ["<script>alert(1)</script>", "/a.php.jpg", "x; cat /etc/passwd", "=cmd|' /c", "Jndi:", "..\\..\\", "a.php?x", "javascript:a(1)", "../web.config", "http://e/x.php"]
+    found = []
+    for how in ("expressions", "automaton"):
+        hits = run(spark, core_rules.default_rules(), texts, strategy=how)
+        found.append(sorted((r.tx_id, r.rule_id, r.reading_ord, r.off, r.len, r.matched) for r in hits.collect()))
+    assert found[0] == found[1] and len(found[0]) > 10
+
+
 def test_first_match_threshold_and_exceptions(spark):
     t = (Target("ARGS"),)
     rules = [Rule(1, 1, t, Op("contains", ("aa",)), (), (Action("score"),), "warning"), Rule(2, 1, t, Op("contains", ("bb",)), (), (Action("score", 4),), "error"), Rule(3, 1, t, Op("contains", ("cc",)), (), (Action("block", 0, 418),)), Rule(4, 1, t, Op("contains", ("cc",)), (), (Action("allow"),))]

@@ -13,6 +13,22 @@ EXCEPTION_SCHEMA = "rule_id bigint, path string, target string, key string, note
 REASONS = ("no_match", "rule", "threshold", "budget_exhausted", "limit_exceeded", "schema_violation", "framing_ambiguous", "undecidable")
 
 
+#: Custom actions: a function of the hits whose rule names the action, to the same hits with their outcome columns set.
+ACTIONS: dict = {}
+
+
+def register_action(name: str, run) -> None:
+    """Add an action. ``run`` maps a frame of hits to a frame of hits, and may set action (block, allow, score, log), score and status."""
+    ACTIONS[name] = run
+
+
+def with_actions(hits: DataFrame) -> DataFrame:
+    """Hits with the outcomes of registered actions."""
+    for name, run in ACTIONS.items():
+        hits = hits.filter(F.col("action") != name).unionByName(run(hits.filter(F.col("action") == name)))
+    return hits
+
+
 def eval_key() -> Column:
     return F.struct(*EVAL_KEY)
 

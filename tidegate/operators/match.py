@@ -1,8 +1,9 @@
 """Matching a compiled plan on values: values -> readings -> chains -> hits.
 
-Rules of plain operators become entries of one generated array, inside one projection; a detector's entry is the value
+Small plans are expressions. Rules of plain operators become entries of one generated array, inside one projection; a detector's entry is the value
 that passed its target and literal gate, and one Arrow function judges these entries alone. The input is read once and
-nothing is shuffled: a value is a row, and hits come out of the row they belong to.
+nothing is shuffled: a value is a row, and hits come out of the row they belong to. Plans of many literals are matched by
+automata in one Arrow function (operators.automaton), with only what that does not support as expressions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tidegate.functions import readings as rd
 from tidegate.functions.detectors import THRESHOLD, detect_many
 from tidegate.functions.text import TRANSFORMS, lowercase
+from tidegate.operators import automaton
 from tidegate.operators.predicates import any_true, gate, is_detector, test_of
 from tidegate.plans.core_rules import PREDICATES
 from tidegate.plans.model import CONFIDENCES, FOLDED, SEVERITIES, SEVERITY_SCORE, Plan, Rule, Target
@@ -86,8 +88,14 @@ def places_frame(spark: SparkSession, plan: Plan) -> DataFrame:
     return spark.createDataFrame(rows, kind)
 
 
-def match(values: DataFrame, plan: Plan, keep: tuple[str, ...] = ("tx_id",), fork: bool = True) -> DataFrame:
-    """All hits of a plan on values (keep..., value_seq, arrived, target, key, data, inert). Inert values are not looked at. Rules without literals see only the verbatim reading."""
+#: Literals beyond which a plan is matched by automata.
+MANY = 100
+
+
+def match(values: DataFrame, plan: Plan, keep: tuple[str, ...] = ("tx_id",), fork: bool = True, strategy: str = "auto") -> DataFrame:
+    """All hits of a plan on values (keep..., value_seq, arrived, target, key, data, inert). Inert values are not looked at. Rules without literals see only the verbatim reading.
+
+    ``strategy``: ``expressions``, ``automaton`` (operators.automaton for what it supports), or ``auto`` by the number of literals."""
     keep = list(keep)
     kinds = sorted({t.kind for r in plan.rules for t in r.targets})
     rows = values.filter(~F.col("inert") & F.col("target").isin(kinds)) if "inert" in values.columns else values.filter(F.col("target").isin(kinds))
@@ -99,6 +107,11 @@ def match(values: DataFrame, plan: Plan, keep: tuple[str, ...] = ("tx_id",), for
         folded[c] = name[c] if "lowercase" in c else f"__f_{'_'.join(c)}"
     rows = rows.withColumns({folded[c]: lowercase(F.col(name[c])) for c in plan.chains if "lowercase" not in c})
     target, key, arrived, verbatim = F.col("target"), F.col("key"), F.col("arrived"), F.col("reading_ord") == 0
+    if strategy == "auto":
+        strategy = "automaton" if sum(len(r.literals) for r in plan.rules) > MANY else "expressions"
+    swept = [i for i, p in enumerate(plan.placed) if strategy == "automaton" and p.rule.literals and automaton.supported(p.rule.op)]
+    if swept:
+        rows = rows.withColumn("__swept", automaton.found(plan, swept, {c: (name[c], folded[c]) for c in plan.chains}))
     tests: dict = {}
 
     def applied(r: Rule) -> Column:
@@ -111,11 +124,13 @@ def match(values: DataFrame, plan: Plan, keep: tuple[str, ...] = ("tx_id",), for
     none, entries = F.lit(None).cast("string"), []
     for i, p in enumerate(plan.placed):
         r = p.rule
+        if i in set(swept):
+            continue
         if is_detector(r.op):
             shared.setdefault((r.op.name.removeprefix("detect_"), r.op.args, r.transforms), []).append(i)
             continue
-        data, low = F.col(name[r.transforms]), F.col(folded[r.transforms])
-        t = test_of(r.op, data, low)
+        data, low = F.col(name[r.transforms]), folded[r.transforms]
+        t = test_of(r.op, name[r.transforms], low)
         own = not r.op.negated and (r.op.literals is None and r.op.name in ("contains", "contains_any", "equals", "has_prefix") or r.op.name.startswith("func:") and r.op.name[5:] in PREDICATES and not PREDICATES[r.op.name[5:]].get("gated"))
         when = applied(r)
         if not r.literals:
@@ -124,13 +139,19 @@ def match(values: DataFrame, plan: Plan, keep: tuple[str, ...] = ("tx_id",), for
             when = when & gate(r.literals, low)
         entries.append(F.when(when & t.hit, _entry(i, t.off, t.length, F.substring(data, t.off.cast("int") + 1, F.least(t.length.cast("int"), F.lit(256))))))
     for k, ((_, _, chain), places) in enumerate(shared.items()):
-        when = any_true([applied(plan.placed[i].rule) for i in places]) & gate(plan.placed[places[0]].rule.literals, F.col(folded[chain]))
+        when = any_true([applied(plan.placed[i].rule) for i in places]) & gate(plan.placed[places[0]].rule.literals, folded[chain])
         entries.append(F.when(when, _entry(None, F.lit(None), F.lit(None), none, k, F.col(name[chain]))))
     base = [*keep, "value_seq", "arrived", "target", "key", "reading_ord", "reading_class"]
     out = None
-    if entries:
+    if swept:
+        entry = lambda x: F.struct(x["place"].alias("place"), x["off"].alias("off"), x["len"].alias("len"), x["matched"].alias("matched"), F.lit(None).cast("int").alias("number"), none.alias("d"))
+        sweep = F.transform("__swept", entry)
+        every = F.concat(F.array_compact(F.array(*entries)), sweep) if entries else sweep
+    elif entries:
+        every = F.array_compact(F.array(*entries))
+    if entries or swept:
         # an explode is a barrier: filters on what comes out are not evaluated again below it
-        rows = rows.select(*base, F.explode(F.array_compact(F.array(*entries))).alias("__e"))
+        rows = rows.select(*base, F.explode(every).alias("__e"))
         if shared:
             rows = rows.withColumn("__v", detect_many([k[:2] for k in shared])(F.col("__e.number"), F.col("__e.d")))
             late = [F.when((F.col("__e.number") == k) & (F.col("__v.score") >= THRESHOLD) & applied(plan.placed[i].rule), F.lit(i)) for k, places in enumerate(shared.values()) for i in places]

@@ -28,11 +28,27 @@ def whole(hit: Column, data: Column) -> Test:
     return Test(hit, F.lit(0), F.length(data))
 
 
-def contains_any(data: Column, folded: Column, needles: tuple[str, ...]) -> Test:
-    """The first needle, in list order, that occurs; case folded."""
+def column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def sql_text(s: str) -> str:
+    """A string literal in SQL."""
+    if s.isascii() and s.isprintable():
+        return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"decode(unhex('{s.encode('latin-1').hex()}'), 'ISO-8859-1')"
+
+
+def contains_any(data: Column, folded: Column | str, needles: tuple[str, ...]) -> Test:
+    """The first needle, in list order, that occurs; case folded. Of a named column the expression is built as one SQL text, which is much quicker to make."""
     low = [n.translate(ASCII) for n in needles if n]
     if not low:
         return whole(F.lit(False), data)
+    if isinstance(folded, str):
+        tests = [(f"contains(`{folded}`, {sql_text(n)})", sql_text(n), len(n)) for n in low]
+        off = " ".join(f"WHEN {t} THEN locate({x}, `{folded}`) - 1" for t, x, _ in tests)
+        size = " ".join(f"WHEN {t} THEN {k}" for t, _, k in tests)
+        return Test(gate(tuple(low), folded), F.expr(f"CASE {off} END"), F.expr(f"CASE {size} END"))
     off, length = F.lit(0), F.lit(0)
     for n in reversed(low):
         there = folded.contains(n)
@@ -89,11 +105,14 @@ def is_detector(op: Op) -> bool:
     return op.name.startswith("detect_")
 
 
-def test_of(op: Op, data: Column, folded: Column) -> Test:
-    """The expression of an operator that is not a detector."""
+def test_of(op: Op, data: Column | str, folded: Column | str) -> Test:
+    """The expression of an operator that is not a detector, on columns or their names."""
+    data = column(data)
     if op.name in ("contains", "contains_any"):
         t = contains_any(data, folded, op.args)
-    elif op.name == "equals":
+        return Test(~t.hit, F.lit(0), F.length(data)) if op.negated else t
+    folded = column(folded)
+    if op.name == "equals":
         t = whole(data == op.args[0], data)
     elif op.name == "has_prefix":
         t = Test(folded.startswith(op.args[0].translate(ASCII)), F.lit(0), F.lit(len(op.args[0])))
@@ -108,8 +127,14 @@ def test_of(op: Op, data: Column, folded: Column) -> Test:
     return Test(~t.hit, F.lit(0), F.length(data)) if op.negated else t
 
 
-def gate(literals: tuple[str, ...], folded: Column) -> Column:
+def gate(literals: tuple[str, ...], folded: Column | str) -> Column:
     """Whether a value holds one of the literals, case folded."""
+    if isinstance(folded, str) and literals:
+        tests = [f"contains(`{folded}`, {sql_text(x.translate(ASCII))})" for x in literals]
+        while len(tests) > 1:
+            tests = [f"({a} OR {b})" for a, b in zip(tests[::2], tests[1::2], strict=False)] + ([tests[-1]] if len(tests) % 2 else [])
+        return F.expr(tests[0])
+    folded = column(folded)
     return any_true([folded.contains(x.translate(ASCII)) for x in literals])
 
 

@@ -129,6 +129,10 @@ def explode_values(tx: DataFrame, keep: tuple[str, ...] = ("tx_id",), line: bool
 def resolved(tx: DataFrame, side: DataFrame, name: str, on: str, key: str, value: str, keep: tuple[str, ...] = ("tx_id",)) -> DataFrame:
     """RESOLVED values of a side table (the frame of a resolver), joined on a column of the transactions."""
     s = side.select(F.col(on).alias("__on"), F.col(key).cast("string").alias("__k"), F.col(value).cast("string").alias("data"))
+    coded = (F.length("data") >= 64) & F.col("data").rlike(r"^[A-Za-z0-9+/_-]+={0,2}\z")
+    plain = F.rtrim(F.translate("data", "-_=", "+/ "))  # encoded values are decoded, in either alphabet
+    full = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "=")
+    s = s.withColumn("data", F.when(coded & (F.length(plain) % 4 != 1), F.decode(F.unbase64(full), "ISO-8859-1")).otherwise(F.col("data")))
     rows = tx.join(s, tx[on] == F.col("__on"))
     k = F.when(F.coalesce("__k", F.lit("")) == "", F.lit(name)).otherwise(F.concat(F.lit(name + "."), "__k"))
     return rows.select(*keep, F.lit(1).alias("arrived"), F.lit("RESOLVED").alias("target"), k.alias("key"), "data", F.lit(False).alias("inert"))
