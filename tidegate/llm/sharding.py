@@ -27,7 +27,8 @@ from tidegate.llm._common import materialize
 
 #: Rows of a block, and of a sub-range of a shard, on average.
 BLOCK_ROWS = 200_000
-LEAST_BLOCKS = 64
+#: Bounds on the number of blocks: the matrix that the driver draws and every task gets has one row for each.
+LEAST_BLOCKS, MOST_BLOCKS = 64, 16_384
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -90,7 +91,7 @@ def assign(rows: DataFrame, shards: int = 16, seed: int = 42, block_rows: int =
     """Add ``shard`` and ``slot`` to rows that have a column ``__h`` (any 64-bit hash of their content)."""
     spark = rows.sparkSession
     total = rows.count()
-    blocks = max(LEAST_BLOCKS, math.ceil(total / block_rows))
+    blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, math.ceil(total / block_rows)))
     local = F.xxhash64(F.lit(seed), "__h")
     dealt = rows.withColumns({"__b": F.pmod(F.xxhash64(F.lit(seed + 1), "__h"), F.lit(blocks)).cast("int"), "__r": local})
     sizes = {r["__b"]: r["n"] for r in dealt.groupBy("__b").agg(F.count("*").alias("n")).collect()}
