@@ -6,11 +6,12 @@ agree in a register with the probability Jaccard similarity of their weighted sh
 soon as its next arrival comes after the latest time in any register (early termination); most elements of a long
 text send one arrival.
 
-The registers are cut into bands. Copies (texts of equal content) are one vertex. Of every band bucket the member with
-the least id is compared with the others, the links that hold are contracted to classes, and then only members of
-one bucket that are still in different classes are compared, every such pair; a bucket full of near copies of one
-another costs as many comparisons as it has members, and no link found by the bands is left out. A comparison is exact:
-the Jaccard similarity of the two sets of shingles, at 0.8 or more.
+The registers are cut into bands. Copies (texts of equal content) are one vertex. The vertices of a band bucket gather
+around its least one; the groups of all leaders hold every two vertices that share a bucket. Within a group the exact
+Jaccard similarity of every two sets of shingles is computed, at 0.8 or more a link: a group beyond BLOCK shingles is
+cut into blocks, and each two blocks are one task's matrix product, so no task holds more than two blocks, and of the
+links only a spanning forest of each two blocks is emitted, not all pairs. Contracting the links gives the classes; no
+link between vertices that share a bucket is left out, and there is no cap on groups.
 
 An id stands for one document: rows that share an id are one vertex, with one of their texts.
 
@@ -21,6 +22,7 @@ others as names of classes; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import materialize, shared_dir, text_key
+from tidegate.llm._common import broadcast_if_small, materialize, shared_dir, text_key
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
-#: Bytes of text handled at once.
-SLICE = 4_000_000
+#: Bytes of text handled at once; shingles of a block of a large group, and cells of a matrix; about how many letters a word has.
+SLICE, BLOCK, CELLS, LETTERS = 4_000_000, 400_000, 8_000_000, 5
 U = np.uint64
 #: An odd base, and its inverse, for polynomial hashes modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -101,10 +103,10 @@ def signatures(h: np.ndarray, doc: np.ndarray, count: np.ndarray, texts: int) ->
     cap = np.full(texts, np.inf)
     while len(live):
         k += 1
-        u = mix(h[live] + U(k) * U(0xD1342543DE82EF95))
+        u = mix(h[live] + U(k * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
         t[live] += -np.log((u >> U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / rate[live]
         live = live[t[live] < cap[doc[live]]]
-        to = doc[live] * M + (mix(h[live] ^ (U(k) * U(0xA0761D6478BD642F))) % U(M)).astype(np.int64)
+        to = doc[live] * M + (mix(h[live] ^ U(k * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)) % U(M)).astype(np.int64)
         np.minimum.at(best, to, t[live])  # the least arrival at each register
         win = t[live] == best[to]
         who[to[win]] = h[live[win]]
@@ -170,13 +172,51 @@ def shingle_set(text: Column) -> Column:
     return shingle_hashes(text)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) whose sets of shingles have the similarity. A vertex of many pairs is a skewed key of a plain join, whose partitions adaptive execution splits."""
-    left = sets.select(F.col("v").alias("x"), F.col("s").alias("sx"))
-    right = sets.select(F.col("v").alias("y"), F.col("s").alias("sy"))
-    both = pairs.join(right, "y").join(left, "x")
-    common = F.size(F.array_intersect("sx", "sy"))
-    return both.filter(common >= F.lit(threshold) * (F.size("sx") + F.size("sy") - common)).select("x", "y")
+def spanning_links(v: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between these vertices: exact Jaccard similarities by a product of incidence matrices. Shingles that one set alone has only count towards sizes."""
+    n = np.array([len(s) for s in sets], np.int64)
+    names, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    column = np.cumsum(shared) - 1
+    row = np.repeat(np.arange(len(sets)), n)
+    keep = shared[at]
+    row, col = row[keep], column[at[keep]]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    width = int(shared.sum())
+    step = max(1, CELLS // max(1, len(sets)))
+    order = np.argsort(col, kind="stable") if width > step else slice(None)
+    row, col = row[order], col[order]
+    for lo in range(0, width, step):
+        a, b = (np.searchsorted(col, (lo, lo + step))) if width > step else (0, len(col))
+        m = np.zeros((len(sets), min(step, width - lo)), np.float32)
+        m[row[a:b], col[a:b] - lo] = 1
+        common += m @ m.T
+    linked = common >= np.float32(threshold) * (n[:, None] + n[None, :] - common) - np.float32(1e-3)
+    out, todo = [], set(range(len(sets)))
+    while todo:  # breadth first, row by row
+        seeds = [todo.pop()]
+        while seeds and todo:
+            i = seeds.pop()
+            near = [j for j in np.flatnonzero(linked[i]).tolist() if j in todo]
+            todo.difference_update(near)
+            seeds += near
+            out += [(int(v[i]), int(v[j])) for j in near]
+    return out
+
+
+def links_within(table: pa.Table, threshold: float) -> pa.Table:
+    """Links of one task's rows (x, v, s): several small groups, or two blocks of a large one."""
+    out: list[tuple[int, int]] = []
+    x, v = table["x"].to_numpy(), table["v"].to_numpy()
+    s = table["s"].combine_chunks()
+    flat, ends = s.flatten().to_numpy(), np.cumsum(s.value_lengths().to_numpy())
+    order = np.lexsort((v, x))
+    cuts = np.flatnonzero(np.concatenate(([True], x[order][1:] != x[order][:-1], [True])))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        rows = order[a:b]
+        if len(rows) > 1:
+            out += spanning_links(v[rows], [flat[ends[r - 1] if r else 0 : ends[r]] for r in rows], threshold)
+    return pa.table({"x": pa.array([min(p) for p in out], pa.int64()), "y": pa.array([max(p) for p in out], pa.int64())})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -195,30 +235,27 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_classes(vertices: DataFrame, sets_of, threshold: float = THRESHOLD) -> DataFrame:
-    """(v, label) for vertices (v, keys) that have a link to another. ``sets_of(frame of v)`` gives the sets of shingles (v, s) of these vertices."""
+def link_classes(vertices: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(v, label) for vertices (v, keys, size) that have a link to another. ``texts`` has (v, t), the text of each vertex."""
     rows = vertices.select("v", F.explode("keys").alias("k"))
-    # buckets of two or more, kept with their least vertex
-    lead = rows.groupBy("k").agg(F.min("v").alias("x"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = materialize(rows.join(lead, "k"))
-    star = members.filter("v <> x").select("x", F.col("v").alias("y")).distinct()
-    star = materialize(star)
-    sets = materialize(sets_of(members.select("v").distinct()))
-    links = materialize(verified(star, sets, threshold))
-    labels = components(links)
-    while True:
-        # what is left: members of a bucket in different classes
-        named = members.select("k", "v").join(labels, "v", "left").select("k", "v", F.coalesce("label", "v").alias("label"))
-        open_ = named.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("k")
-        named = materialize(named.join(open_, "k", "left_semi"))
-        other = named.select("k", F.col("v").alias("w"), F.col("label").alias("l2"))
-        pairs = named.join(other, "k").filter("label < l2").select(F.least("v", "w").alias("x"), F.greatest("v", "w").alias("y")).distinct()
-        pairs = materialize(pairs.join(star, ["x", "y"], "left_anti"))
-        more = materialize(verified(pairs, sets, threshold))
-        if not more.limit(1).count():
-            return labels
-        # every open pair has been compared, so one more contraction ends it
-        return components(links.unionByName(more))
+    lead = rows.groupBy("k").agg(F.min("v").alias("x"), F.count("*").alias("n")).filter("n > 1").select("k", "x")
+    member = materialize(rows.join(lead, "k").select("x", "v").distinct().join(vertices.select("v", "size"), "v"))
+    groups = materialize(member.groupBy("x").agg(F.count("*").alias("n"), F.sum("size").alias("size")).filter("n > 1"))
+    total = groups.agg(F.sum("size")).first()[0]
+    packs = math.ceil((total or 0) / BLOCK) + 1
+    # a small group goes to a pack of such groups; a large one is cut into blocks, every two of which meet once
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    groups = groups.select(F.col("x"), blocks.alias("nb"))
+    own = F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")
+    two = lambda i: F.struct(F.least(own, i).alias("i"), F.greatest(own, i).alias("j"))
+    placed = member.join(groups, "x").select("v", "x", F.when(F.col("nb") == 1, F.array(F.struct(F.pmod(F.xxhash64("x"), F.lit(packs)).cast("int").alias("i"), F.lit(-1).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), two)).alias("at"))
+    cells = placed.select("v", F.explode("at").alias("c"), "x").select("v", F.struct(F.when(F.col("c.j") < 0, F.lit(0)).otherwise(F.col("x")).alias("g"), "c.i", "c.j", "x").alias("p"))
+    # a vertex has few leaders, at most one for each band
+    of = materialize(cells.groupBy("v").agg(F.collect_list("p").alias("ps")))
+    chosen = texts.join(broadcast_if_small(of), "v").groupBy("v").agg(F.first("t").alias("t"), F.first("ps").alias("ps"))
+    ready = chosen.select("v", shingle_set(F.col("t")).alias("s"), "ps").select("v", "s", F.explode("ps").alias("p")).select("v", "s", "p.*")
+    found = ready.groupBy("g", "i", "j").applyInArrow(lambda t: links_within(t, threshold), "x bigint, y bigint")
+    return components(found)
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -228,20 +265,14 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
     v = F.coalesce(F.col(doc).cast("bigint"), last)
     blank = F.when(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\s]+", " ")) == "", F.lit("")).otherwise(F.col(text))
     key = text_key(blank)
-    hashed = docs.select(F.col(doc).alias("id"), v.alias("v"), key["a"].alias("a"), key["b"].alias("b"), band_keys(F.col(text)).alias("keys"))
+    hashed = docs.select(F.col(doc).alias("id"), v.alias("v"), key["a"].alias("a"), key["b"].alias("b"), (F.octet_length(F.coalesce(F.col(text), F.lit(""))) / LETTERS + 1).cast("bigint").alias("size"), band_keys(F.col(text)).alias("keys"))
     hashed = materialize(hashed)
     copies = materialize(hashed.groupBy("a", "b").agg(F.min("v").alias("r"), F.count("*").alias("n")))
     repeated = copies.filter("n > 1").select("a", "b", "r")
     # one vertex for each distinct text: those without copies, and the first of the others
     first = hashed.join(repeated, ["a", "b"], "left").filter("r IS NULL OR r = v").filter("keys IS NOT NULL")
-    vertices = first.select("v", "keys", "a", "b")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        t = docs.select(v.alias("v"), F.col(text).alias("t"))
-        chosen = t.join(wanted, "v", "left_semi").groupBy("v").agg(F.first("t").alias("t"))
-        return chosen.select("v", shingle_set(F.col("t")).alias("s"))
-
-    labels = link_classes(vertices.select("v", "keys"), sets_of, threshold)
+    texts = docs.select(v.alias("v"), F.col(text).alias("t"))
+    labels = link_classes(first.select("v", "keys", "size"), texts, threshold)
     out = hashed.select("id", "v", "a", "b").join(repeated, ["a", "b"], "left").select("id", F.coalesce("r", "v").alias("r"))
     out = out.join(labels.select(F.col("v").alias("r"), "label"), "r", "left")
     name = lambda c: F.when(c == last, F.lit(None)).otherwise(c)
