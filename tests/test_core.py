@@ -209,6 +209,56 @@ def test_schema_prunes_and_reports(spark):
     assert [x.tx_id for x in schema.undeclared(r).collect()] == [4]
 
 
+def test_contract_and_body_gates(spark):
+    ops = [schema.Operation("POST", "/o", body=[schema.Field("n", "integer", required=True)]), schema.Operation("POST", "/none", no_body=True)]
+    head = [("Content-Type", "application/json")]
+    rows = [(1, "/o", head, bytearray(b'{"n":"x"}')), (2, "/o", head, bytearray(b'{"m":1}')), (3, "/none", head, bytearray(b"{}")), (4, "/else", head, None), (5, "/o", [*head, ("Content-Encoding", "br")], bytearray(b'{"n":1}'))]
+    t = tx.transactions(spark.createDataFrame(rows, f"tx_id long, target string, headers {tx.NAMED}, body binary").withColumn("method", F.lit("POST"))).withColumn("path", tx.path_of(F.col("target")))
+    r, f, v = schema.routes(t, ops), schema.fields_frame(spark, ops), tx.explode_values(t)
+    g = schema.gates(schema.validated(v, r, f), schema.missing_required(v, r, f), r, t, f, closed=True)
+    found = {(x.tx_id, x.detail) for x in g.collect()}
+    assert {(1, "n: wrong_type"), (2, "missing: n"), (3, "body"), (4, "undeclared route")} <= found
+    assert [(x.tx_id, x.reason) for x in tx.body_gates(t).collect()] == [(5, "undecidable")]
+    d = {x.tx_id: (x.verdict, x.reason) for x in decide.all_decisions(t, decide.decide(run(spark, [Rule(1, 1, (Target("ARGS"),), Op("contains", ("zz",)))], ["x"])), g).collect()}
+    assert d[1] == ("block", "schema_violation")
+
+
+def test_conformance_replay(spark):
+    from tidegate.plans import conformance
+
+    text = """
+rule_id: 1
+tests:
+  - {test_id: 1, stages: [{input: {uri: "/?q=<script>alert(1)</script>"}, output: {log: {expect_ids: [3010]}}}]}
+  - {test_id: 2, stages: [{input: {uri: "/ok"}, output: {log: {no_expect_ids: [3010]}}}]}
+  - {test_id: 3, stages: [{input: {raw_request: x}, output: {status: 403}}]}
+"""
+    plan = model.compile_rules(core_rules.default_rules())
+    for mode in ("detection", "rule_id"):
+        out = {r.name: r.outcome for r in conformance.replay(spark, conformance.load(text), plan, mode).collect()}
+        assert out == {"1-1": "pass", "1-2": "pass", "1-3": "skip"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidegate import cli
+
+    assert cli.main(["lint"]) == 0 and "rules: 78" in capsys.readouterr().out
+    assert cli.main(["explain", "2010"]) == 0 and "SQL injection" in capsys.readouterr().out
+    path = tmp_path / "c.jsonl"
+    path.write_text('# corpus\n\n{"name":"a","target":"/?q=hello"}\n{"method":"POST","target":"/x","body":"{\\"a\\":1}","headers":{"Content-Type":"application/json"}}\n')
+    assert cli.main(["calibrate", "--corpus", str(path)]) == 0
+    d, hits = cli.explain_request(spark, core_rules.default_rules(), "/?q=1' or '1'='1")
+    assert d.first().verdict == "block" and hits.count() > 0
+
+
+def test_custom_actions(spark):
+    t = (Target("ARGS"),)
+    decide.register_action("tarpit", lambda hits: hits.withColumns({"action": F.lit("block"), "status": F.lit(429)}))
+    hits = run(spark, [Rule(1, 1, t, Op("contains", ("aa",)), (), (Action("tarpit"),))], ["aa"], fork=False)
+    d = decide.decide(decide.with_actions(hits)).first()
+    assert d.verdict == "block" and d.status == 429
+
+
 def test_importers():
     rules, report = seclang.parse('SecRule ARGS "@rx (foo|bar)baz" "id:5,phase:2,deny,t:lowercase"\nSecRule ARGS "@eq 1" "id:6,deny"\nSecAction "id:7"')
     assert [r.id for r in rules] == [5] and len(report.skipped) == 2 and rules[0].transforms == ("lowercase",) and rules[0].literals

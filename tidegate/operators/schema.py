@@ -126,3 +126,16 @@ def violations(checked: DataFrame, keep: tuple[str, ...] = ("tx_id",)) -> DataFr
 
 def inert_share(checked: DataFrame) -> Column:
     return F.avg(F.col("inert").cast("double"))
+
+
+def gates(checked: DataFrame, missing: DataFrame, routed: DataFrame, tx: DataFrame, fields: DataFrame, keep: tuple[str, ...] = ("tx_id",), closed: bool = False) -> DataFrame:
+    """(keep..., gate_phase, gate_ord, reason, detail) of what breaks the contract: violations in order of their values, missing fields, a body where there may be none, and, for a closed API, undeclared routes."""
+    row = lambda phase, order, detail: [*keep, phase.cast("int").alias("gate_phase"), order.cast("int").alias("gate_ord"), F.lit("schema_violation").alias("reason"), detail.alias("detail")]
+    out = checked.filter("violation IS NOT NULL").select(*row(F.least(F.col("arrived"), F.lit(2)), F.col("value_seq") + 10, F.concat_ws(": ", "key", "violation")))
+    out = out.unionByName(missing.select(*row(F.lit(2), F.lit(7), F.concat(F.lit("missing: "), "name"))))
+    bare = fields.filter("field_ord = -1 AND no_body").select("op_ord")
+    sent = routed.select(*keep, "op_ord").join(F.broadcast(bare), "op_ord", "left_semi").join(tx.filter(F.octet_length("body") > 0).select(*keep), list(keep), "left_semi")
+    out = out.unionByName(sent.select(*row(F.lit(2), F.lit(6), F.lit("body"))))
+    if closed:
+        out = out.unionByName(undeclared(routed).select(*row(F.lit(1), F.lit(9), F.lit("undeclared route"))))
+    return out

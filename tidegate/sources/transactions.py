@@ -117,9 +117,8 @@ def explode_values(tx: DataFrame, keep: tuple[str, ...] = ("tx_id",), line: bool
     base = tx.withColumn("__path", path_of(F.col("target")))
     all_ = entries(line, strict_parity)
     if bodies:
-        header = lambda n: F.when(F.exists(F.coalesce("headers", F.array().cast(NAMED)), lambda h: lowercase(h["name"]) == n), F.try_element_at(F.transform(F.filter("headers", lambda h: lowercase(h["name"]) == n), lambda h: h["value"]), F.lit(1)))
         some = F.when(F.octet_length("body").between(1, MAX_BODY), F.col("body"))
-        base = base.withColumn("__body", body_entries(some, header("content-type"), header("content-encoding"), header("grpc-encoding"), F.lit(not strict_parity)))
+        base = base.withColumn("__body", body_entries(some, _header("content-type"), _header("content-encoding"), _header("grpc-encoding"), F.lit(not strict_parity)))
         seen = F.coalesce(F.col("__body.entries"), _empty())
         all_ = F.concat(F.filter(all_, lambda e: e["arrived"] <= 2), seen, F.filter(all_, lambda e: e["arrived"] > 2))
     rows = base.select(*keep, F.col("__path").alias("path"), F.posexplode(all_).alias("value_seq", "__v"))
@@ -167,3 +166,20 @@ def gates(tx: DataFrame, keep: tuple[str, ...] = ("tx_id",)) -> DataFrame:
         F.when(F.octet_length("response_body") > MAX_BODY, say(4, 5, "limit_exceeded", "response body")),
     ))
     return tx.select(*keep, F.inline(found))
+
+
+def _header(name: str) -> Column:
+    """The first value of a request header, null if it is not there."""
+    of = F.filter(F.coalesce("headers", F.array().cast(NAMED)), lambda h: lowercase(h["name"]) == name)
+    return F.try_element_at(F.transform(of, lambda h: h["value"]), F.lit(1))
+
+
+def body_gates(tx: DataFrame, keep: tuple[str, ...] = ("tx_id",)) -> DataFrame:
+    """(keep..., gate_phase, gate_ord, reason, detail) of bodies that cannot be decoded or that unpack beyond their limit."""
+    from tidegate.sources.bodies import body_entries
+
+    some = tx.filter(F.octet_length("body").between(1, MAX_BODY))
+    status = body_entries(F.col("body"), _header("content-type"), _header("content-encoding"), _header("grpc-encoding"), F.lit(True))["status"]
+    reason = F.when(F.col("detail") == "undecodable", "undecidable").when(F.col("detail").isin("too_large", "too_deep", "too_many"), "limit_exceeded")
+    rows = some.select(*keep, status.alias("detail")).withColumn("reason", reason).filter("reason IS NOT NULL")
+    return rows.select(*keep, F.lit(2).alias("gate_phase"), F.lit(8).alias("gate_ord"), "reason", "detail")
