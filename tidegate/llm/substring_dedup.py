@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import broadcast_if_small, materialize, shared_dir
+from tidegate.llm._common import materialize, shared_dir
 
 #: Least sentences and words of a span.
 SENTENCES, WORDS = 2, 12
+#: Runs (two integers each) up to which they are broadcast.
+BROADCAST_RUNS = 1_000_000
 #: A sentence ends after closing punctuation that white space follows, or at a line's end; it takes the white space after it.
 SENTENCE = regex.compile(r"[^\n]*?(?:[.!?。！？]+[\"'”’)\]]*(?=\s)[^\S\n]*\n*|\n+|\Z)")
 SPAN = "array<struct<h:bigint,i:int,j:int,first:boolean>>"
@@ -109,6 +111,17 @@ def cut_column(text: Column, runs: Column) -> Column:
     return cut_sentences(text, runs)
 
 
+def merged(runs: Column) -> Column:
+    """Sorted runs (i, j) with overlapping and touching ones made one."""
+
+    def step(acc, r):
+        last = F.element_at(acc, -1)
+        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["i"].alias("i"), F.greatest(last["j"], r["j"]).alias("j"))))
+        return F.when((F.size(acc) > 0) & (last["j"] >= r["i"]), grown).otherwise(F.concat(acc, F.array(r)))
+
+    return F.aggregate(runs, F.array().cast("array<struct<i:int,j:int>>"), step)
+
+
 def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, text without repeated spans, n_removed sentences."""
     shared_dir(docs.sparkSession)
@@ -121,7 +134,10 @@ def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     # a span that goes here goes at each of its places; of one that stays, the places after the first go
     whole = rows.join(later, ["v", "h"], "left_semi").select("v", "i", "j")
     again = rows.filter("NOT first").select("v", "i", "j")
-    runs = materialize(whole.unionByName(again).distinct().groupBy("v").agg(F.collect_list(F.struct("i", "j")).alias("runs")))
+    spots = whole.unionByName(again).distinct().groupBy("v").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("runs"))
+    runs = materialize(spots.select("v", merged(F.col("runs")).alias("runs")))
     base = docs.select(F.col(doc).alias("doc_id"), v.alias("v"), F.col(text).alias("text"))
-    out = base.join(broadcast_if_small(runs, 100_000), "v", "left").withColumn("c", cut_column(F.col("text"), F.col("runs")))
+    # the runs are broadcast only if all of them together are few; else texts and runs meet by a shuffle
+    few = (runs.agg(F.sum(F.size("runs") + 2)).first()[0] or 0) <= BROADCAST_RUNS
+    out = base.join(F.broadcast(runs) if few else runs.hint("merge"), "v", "left").withColumn("c", cut_column(F.col("text"), F.col("runs")))
     return out.select("doc_id", F.col("c.text").alias("text"), F.col("c.n_removed").alias("n_removed"))
