@@ -12,10 +12,15 @@ from tidegate.session import ship_package, table  # noqa: F401
 #: Most rows that a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
+#: Rows of an Arrow batch, at most: batches of texts are held by the executor and by its Python workers at once.
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Set here only if the session has none (local tests)."""
     ship_package(spark)
+    if int(spark.conf.get(ARROW_ROWS, "10000")) > BATCH_ROWS:  # texts can be long
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         import tempfile

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 #: Fixed value: the pre-tokenizer's pattern. Its white space is Unicode's.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Entries that a worker remembers before it starts over.
-CACHE = 700_000
+CACHE = 300_000
 #: Symbols up to which pieces share a matrix of trees.
 SHORT = 32
 #: Characters of texts handled at once.
-SLICE = 4_000_000
+SLICE = 1_000_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -292,6 +292,26 @@ def decode(ids: Column | str, spec: str) -> Column:
     return bpe_decode(ids)
 
 
+def round_trip(text: Column | str, spec: str) -> Column:
+    """``struct<ids, decoded>``: the ids of a text column and the text that these ids decode to, by one Python worker for both; nulls for null."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def bpe_round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = tokenizer(spec)
+        for batch in batches:
+            texts = batch.to_pylist()
+            ids, decoded = [], []
+            for part in slices(texts):
+                here = bpe.encode_batch(part)
+                ids += here
+                decoded += bpe.decode_batch(np.frombuffer(b"".join(here), np.int32), np.array([len(x) // 4 for x in here], np.int64))
+            null = np.array([t is None for t in texts], bool)
+            yield pa.StructArray.from_arrays([_ids_array(ids, (~null).tolist()), pa.array(decoded, pa.string(), mask=null)], names=["ids", "decoded"])
+
+    return bpe_round_trip(text)
+
+
 def encode_decode(docs: DataFrame, spec: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add the ids of a text column and the text that these ids decode to."""
-    return docs.withColumn(ids, encode(F.col(text), spec)).withColumn(decoded, decode(F.col(ids), spec))
+    out = docs.withColumn("__bpe", round_trip(F.col(text), spec))
+    return out.withColumns({ids: F.col("__bpe.ids"), decoded: F.col("__bpe.decoded")}).drop("__bpe")
