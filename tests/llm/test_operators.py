@@ -152,6 +152,21 @@ def test_substring_dedup(spark, empty):
     assert substring_dedup.deduplicate(empty).count() == 0
 
 
+def test_substring_dedup_null_and_repeated_ids(spark):
+    rng = random.Random(21)
+    own = [". ".join(prose(rng, 13).capitalize() for _ in range(4)) + "." for _ in range(8)]
+    passage, other = own[6], own[7]
+    rows = [(1, passage), (None, passage + " " + own[0]), (None, own[1]), (7, passage + " " + own[2]), (7, own[3]), (None, own[4] + " " + other), (None, own[5] + " " + other), (8, own[0] + " x."), (9, "alone"), (9, "alone"), (None, None), (None, "")]
+    copies = [(3, "Copy of one text. " + prose(rng, 20) + "."), (None, "Copy of no id. " + prose(rng, 20) + ".")]
+    df = spark.createDataFrame(rows + [c for c in copies for _ in range(3)], "doc_id long, text string").repartition(3)
+    out = collections.Counter((r.doc_id, r.text) for r in substring_dedup.deduplicate(df).collect())
+    want = collections.Counter([(1, passage), (None, own[1]), (7, own[2]), (7, own[3]), (8, own[0] + " x."), (9, "alone"), (9, "alone"), (None, None), (None, "")])
+    want.update(copies + [(c[0], "") for c in copies for _ in range(2)])
+    # a passage of rows without an id stays in one of them
+    a, b = [(None, own[4] + " " + other), (None, own[5] + " ")], [(None, own[4] + " "), (None, own[5] + " " + other)]
+    assert out in (want + collections.Counter([(None, ""), *a]), want + collections.Counter([(None, ""), *b]))
+
+
 def test_language_held_out(spark):
     rng = random.Random(3)
     parts = {"en": "th er ing on and the of", "de": "sch ung ein der die keit ver", "fr": "eau tion les oi ré que", "es": "ción ado que mente los ñ"}

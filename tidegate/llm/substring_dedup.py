@@ -6,10 +6,13 @@ passage are covered whatever surrounds it. Spans are hashed over their normalise
 document of least id that has a span keeps it, as does the first place within a document; the sentences of every other
 occurrence are removed. What is left of a text is left as it is, character for character.
 
+A document is an id with a text: ids only order the documents, and texts that share an id come in the order of their
+content address. Rows of the same id and text are copies, of which one counts as the first.
+
 Cases: null texts stay null and empty texts empty; a text without a removed sentence is returned unchanged; exact
 copies lose all sentences but keep their row, with an empty text (white space goes with the sentence before it); rows
-that share an id are taken as one document and all keep what the least id keeps; null ids come after all others; an
-empty table gives an empty result; other columns are not read.
+that share an id, or have none, are documents of their own; null ids come after all others; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm._common import materialize, shared_dir
+from tidegate.llm._common import broadcast_if_small, materialize, shared_dir, text_key
 
 #: Least sentences and words of a span.
 SENTENCES, WORDS = 2, 12
@@ -100,6 +103,17 @@ def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
     return "".join([text[a:b] for k, (a, b, _, _) in enumerate(found) if k not in gone]), sum(k < len(found) for k in gone)
 
 
+def copy_column(text: Column) -> Column:
+    """struct<text, n_removed> of a text without any of its spans: what is left of a copy."""
+
+    @F.arrow_udf("struct<text:string,n_removed:int>")
+    def cut_copies(texts: pa.Array) -> pa.Array:
+        kept = [without(t, [x[1:3] for x in spans(t)]) if t else (t, 0) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.int32())], names=["text", "n_removed"])
+
+    return cut_copies(text)
+
+
 def cut_column(text: Column, runs: Column) -> Column:
     """struct<text, n_removed> of a text and its removed runs."""
 
@@ -125,19 +139,29 @@ def merged(runs: Column) -> Column:
 def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, text without repeated spans, n_removed sentences."""
     shared_dir(docs.sparkSession)
-    v = F.coalesce(F.col(doc).cast("bigint"), F.lit(2**63 - 1))
-    rows = docs.select(v.alias("v"), F.inline(spans_column(F.col(text))))
-    rows = materialize(rows)
+    key = ["v", "a", "b"]
+    address = text_key(F.col(text))
+    base = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(doc).cast("bigint"), F.lit(2**63 - 1)).alias("v"), address["a"].alias("a"), address["b"].alias("b"), F.col(text).alias("text"))
+    rows = materialize(base.select(*key, F.inline(spans_column(F.col("text")))))
     # a span's first document; partial sums make one row for each task of a span that is everywhere
-    shared = rows.filter("first").groupBy("h").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo < hi").select("h", "lo")
-    later = rows.filter("first").join(shared, "h").filter("v > lo").select("v", "h").distinct()
+    shared = rows.filter("first").groupBy("h").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).filter("lo < hi").select("h", "lo")
+    later = rows.filter("first").join(shared, "h").filter(F.struct(*key) > F.col("lo")).select(*key, "h").distinct()
     # a span that goes here goes at each of its places; of one that stays, the places after the first go
-    whole = rows.join(later, ["v", "h"], "left_semi").select("v", "i", "j")
-    again = rows.filter("NOT first").select("v", "i", "j")
-    spots = whole.unionByName(again).distinct().groupBy("v").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("runs"))
-    runs = materialize(spots.select("v", merged(F.col("runs")).alias("runs")))
-    base = docs.select(F.col(doc).alias("doc_id"), v.alias("v"), F.col(text).alias("text"))
+    whole = rows.join(later, [*key, "h"], "left_semi").select(*key, "i", "j")
+    again = rows.filter("NOT first").select(*key, "i", "j")
+    spots = whole.unionByName(again).distinct().groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("runs"))
+    runs = materialize(spots.select(*key, merged(F.col("runs")).alias("runs")))
     # the runs are broadcast only if all of them together are few; else texts and runs meet by a shuffle
-    few = (runs.agg(F.sum(F.size("runs") + 2)).first()[0] or 0) <= BROADCAST_RUNS
-    out = base.join(F.broadcast(runs) if few else runs.hint("merge"), "v", "left").withColumn("c", cut_column(F.col("text"), F.col("runs")))
-    return out.select("doc_id", F.col("c.text").alias("text"), F.col("c.n_removed").alias("n_removed"))
+    few = (runs.agg(F.sum(F.size("runs") + 4)).first()[0] or 0) <= BROADCAST_RUNS
+    runs = F.broadcast(runs) if few else runs.hint("merge")
+    copies = materialize(base.filter("text <> ''").groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"))
+    result = ["doc_id", F.col("c.text").alias("text"), F.col("c.n_removed").alias("n_removed")]
+    if not copies.limit(1).count():
+        return base.join(runs, key, "left").withColumn("c", cut_column(F.col("text"), F.col("runs"))).select(*result)
+    copies = broadcast_if_small(copies)
+    alone = base.join(copies, key, "left_anti").join(runs, key, "left").withColumn("c", cut_column(F.col("text"), F.col("runs")))
+    # rows of the same id and text become one, which is cut as the first of them, and the others as copies
+    one = materialize(base.join(copies, key).groupBy(*key).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("n").alias("n")))
+    first = one.join(runs, key, "left").withColumn("c", cut_column(F.col("text"), F.col("runs")))
+    others = one.select("doc_id", copy_column(F.col("text")).alias("c"), "n").select("doc_id", "c", F.explode(F.sequence(F.lit(2), F.col("n"))))
+    return alone.select(*result).unionByName(first.select(*result)).unionByName(others.select(*result))
