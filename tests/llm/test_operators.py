@@ -167,6 +167,21 @@ def test_substring_dedup_null_and_repeated_ids(spark):
     assert out in (want + collections.Counter([(None, ""), *a]), want + collections.Counter([(None, ""), *b]))
 
 
+def test_substring_dedup_one_sentence(spark):
+    rng = random.Random(22)
+    line, whole, short = prose(rng, 60), prose(rng, 30) + ".", "Too short to be a span."
+    signs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    chinese = "".join(signs(9) + "。" for _ in range(5))
+    own = [signs(20) + "。" for _ in range(4)]
+    # the ends of the passage merge with the host's sentences, so one whole sentence is left of it
+    ends = [prose(rng, 8) + ". " + whole + " " + prose(rng, 8) for _ in range(2)]
+    texts = [line, line, whole, short, short, own[0] + chinese + own[1], own[2] + chinese + own[3], *ends]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in substring_dedup.deduplicate(df).collect()}
+    want = dict(enumerate(texts)) | {1: "", 6: own[2] + own[3]} | {7 + k: ends[k].replace(whole + " ", "") for k in range(2)}
+    assert out == want
+
+
 def test_language_held_out(spark):
     rng = random.Random(3)
     parts = {"en": "th er ing on and the of", "de": "sch ung ein der die keit ver", "fr": "eau tion les oi ré que", "es": "ción ado que mente los ñ"}

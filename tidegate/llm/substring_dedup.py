@@ -2,7 +2,8 @@
 
 A text is cut into sentences. A span is a run of several consecutive sentences: from every sentence on, the shortest
 run of at least two sentences and WORDS words, and likewise up to every sentence, so that all sentences of a repeated
-passage are covered whatever surrounds it. Spans are hashed over their normalised sentences and joined globally: the
+passage are covered whatever surrounds it. A lone sentence of LONE words is a span too, and so is a whole text that is
+one sentence of WORDS words. Where no white space parts words, two characters count as a word. Spans are hashed over their normalised sentences and joined globally: the
 document of least id that has a span keeps it, as does the first place within a document; the sentences of every other
 occurrence are removed. What is left of a text is left as it is, character for character.
 
@@ -10,13 +11,14 @@ A document is an id with a text: ids only order the documents, and texts that sh
 content address. Rows of the same id and text are copies, of which one counts as the first.
 
 Cases: null texts stay null and empty texts empty; a text without a removed sentence is returned unchanged; exact
-copies lose all sentences but keep their row, with an empty text (white space goes with the sentence before it); rows
+copies of WORDS words lose all sentences (shorter ones stay) but keep their row, with an empty text (white space goes with the sentence before it); rows
 that share an id, or have none, are documents of their own; null ids come after all others; an empty table gives an
 empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,19 +29,21 @@ from pyspark.sql import functions as F
 
 from tidegate.llm._common import broadcast_if_small, materialize, shared_dir, text_key
 
-#: Least sentences and words of a span.
-SENTENCES, WORDS = 2, 12
+#: Least sentences and words of a span, and least words of a sentence that is a span alone.
+SENTENCES, WORDS, LONE = 2, 12, 24
 #: Runs (two integers each) up to which they are broadcast.
 BROADCAST_RUNS = 1_000_000
-#: A sentence ends after closing punctuation that white space follows, or at a line's end; it takes the white space after it.
-SENTENCE = regex.compile(r"[^\n]*?(?:[.!?。！？]+[\"'”’)\]]*(?=\s)[^\S\n]*\n*|\n+|\Z)")
+#: A sentence ends after closing punctuation that white space follows (or, in scripts without spaces, anything), or at a line's end; it takes the white space after it.
+SENTENCE = regex.compile(r"[^\n]*?(?:[.!?。！？]+(?:(?<=[。！？])[\"'”’)\]」』）】》]*|[\"'”’)\]]*(?=\s))[^\S\n]*\n*|\n+|\Z)")
+#: Letters of scripts that put no white space between words.
+UNSPACED = re.compile("[ก-໿က-႟ក-៿々-〇぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U000323af]")
 SPAN = "array<struct<h:bigint,i:int,j:int,first:boolean>>"
 STRUCT = pa.struct([("h", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("first", pa.bool_())])
 
 
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, normalised sentence, words) of every sentence; they cover the text."""
-    out = []
+    out, spaced = [], text.isascii() or not UNSPACED.search(text)
     for m in SENTENCE.finditer(text):
         if m.end() > m.start():
             words = m.group().lower().split()
@@ -47,14 +51,15 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
                 a, _, s, n = out[-1]
                 out[-1] = (a, m.end(), s, n)
             else:
-                out.append((m.start(), m.end(), " ".join(words), len(words)))
+                out.append((m.start(), m.end(), " ".join(words), len(words) if spaced else len(words) + len(UNSPACED.findall(m.group())) // 2))
     return out
 
 
 def spans(text: str) -> list[tuple[int, int, int, bool]]:
     """(hash, first sentence, end sentence, whether this is its first place here) of the spans of a text."""
     found = sentences(text)
-    n, runs = len(found), set()
+    n = len(found)
+    runs = {(i, i + 1) for i in range(n) if found[i][3] >= (LONE if n > 1 else WORDS)}
     total, j = 0, 0
     for i in range(n):  # forward: shortest run from i
         while j < n and (j - i < SENTENCES or total < WORDS):
