@@ -327,6 +327,19 @@ def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
     assert out == brute_classes(rows)
 
 
+def test_near_duplicates_null_and_repeated_ids(spark):
+    rng = random.Random(14)
+    base = [prose(rng, 80) for _ in range(4)]
+    near = [b + " more" for b in base]
+    rows = [(5, base[0]), (None, near[0]), (None, prose(rng, 70)), (None, prose(rng, 70)), (6, base[1]), (9, prose(rng, 70)), (9, near[1]), (9, prose(rng, 70)), (None, base[2]), (None, near[2]), (3, base[3]), (3, near[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(df).collect()
+    want = [(5, 5), (None, 5), (None, None), (None, None), (6, 6), (9, 9), (9, 6), (9, 9), (None, None), (None, None), (3, 3), (3, 3)]
+    assert collections.Counter((r.doc_id, r.class_id) for r in got) == collections.Counter(want)
+    sizes = collections.Counter((r.cv, r.ca, r.cb) for r in near_dedup.classes(df).collect())
+    assert sorted(sizes.values()) == [1, 1, 1, 1, 2, 2, 2, 2]
+
+
 def test_prob_min_hash_estimates_jaccard():
     rng = random.Random(13)
     base = prose(rng, 400).split()

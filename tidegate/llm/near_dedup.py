@@ -13,7 +13,9 @@ cut into blocks, and each two blocks are one task's matrix product, so no task h
 links only a spanning forest of each two blocks is emitted, not all pairs. Contracting the links gives the classes; no
 link between vertices that share a bucket is left out, and there is no cap on groups.
 
-An id stands for one document: rows that share an id are one vertex, with one of their texts.
+Vertices are texts, whatever their ids: a class is that of its texts, and the ids only name it. The name of a class is
+its least id, so classes of equal least ids (or of null ids alone) have the same name; ``classes`` tells them apart by
+their least text.
 
 Cases: null and empty texts (and texts without a word) are equal to one another only, and form one class; a text of
 fewer than five words is one shingle; repeated rows are copies, and each gets its row; null ids come after all
@@ -35,6 +37,8 @@ from tidegate.llm._common import broadcast_if_small, materialize, shared_dir, te
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
+#: Stands for a null id, after all others.
+LAST = 2**63 - 1
 #: Bytes of text handled at once; shingles of a block of a large group, and cells of a matrix; about how many letters a word has.
 SLICE, BLOCK, CELLS, LETTERS = 4_000_000, 400_000, 8_000_000, 5
 U = np.uint64
@@ -236,7 +240,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_classes(vertices: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(v, label) for vertices (v, keys, size) that have a link to another. ``texts`` has (v, t), the text of each vertex."""
+    """(v, label) for vertices (v, r, a, b, keys, size) that have a link to another. ``texts`` has (r, a, b, t); the text of a vertex is that of its id and address."""
     rows = vertices.select("v", F.explode("keys").alias("k"))
     lead = rows.groupBy("k").agg(F.min("v").alias("x"), F.count("*").alias("n")).filter("n > 1").select("k", "x")
     member = materialize(rows.join(lead, "k").select("x", "v").distinct().join(vertices.select("v", "size"), "v"))
@@ -251,29 +255,42 @@ def link_classes(vertices: DataFrame, texts: DataFrame, threshold: float = THRES
     placed = member.join(groups, "x").select("v", "x", F.when(F.col("nb") == 1, F.array(F.struct(F.pmod(F.xxhash64("x"), F.lit(packs)).cast("int").alias("i"), F.lit(-1).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), two)).alias("at"))
     cells = placed.select("v", F.explode("at").alias("c"), "x").select("v", F.struct(F.when(F.col("c.j") < 0, F.lit(0)).otherwise(F.col("x")).alias("g"), "c.i", "c.j", "x").alias("p"))
     # a vertex has few leaders, at most one for each band
-    of = materialize(cells.groupBy("v").agg(F.collect_list("p").alias("ps")))
-    chosen = texts.join(broadcast_if_small(of), "v").groupBy("v").agg(F.first("t").alias("t"), F.first("ps").alias("ps"))
+    of = materialize(cells.groupBy("v").agg(F.collect_list("p").alias("ps")).join(vertices.select("v", "r", "a", "b"), "v"))
+    chosen = texts.join(broadcast_if_small(of), ["r", "a", "b"]).groupBy("v").agg(F.first("t").alias("t"), F.first("ps").alias("ps"))
     ready = chosen.select("v", shingle_set(F.col("t")).alias("s"), "ps").select("v", "s", F.explode("ps").alias("p")).select("v", "s", "p.*")
     found = ready.groupBy("g", "i", "j").applyInArrow(lambda t: links_within(t, threshold), "x bigint, y bigint")
     return components(found)
 
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (the least id of the class), copy_of (the least id among equal texts)."""
+def address(text: Column) -> Column:
+    """The content address of a text; texts without a word have the same."""
+    return text_key(F.when(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s]+", " ")) == "", F.lit("")).otherwise(text))
+
+
+def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row of docs: id, v (the id, the greatest integer for null), r (least v among equal texts), and the class as its least (cv, ca, cb): id and content address."""
     shared_dir(docs.sparkSession)
-    last = F.lit(2**63 - 1)
-    v = F.coalesce(F.col(doc).cast("bigint"), last)
-    blank = F.when(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\s]+", " ")) == "", F.lit("")).otherwise(F.col(text))
-    key = text_key(blank)
+    v = F.coalesce(F.col(doc).cast("bigint"), F.lit(LAST))
+    key = address(F.col(text))
     hashed = docs.select(F.col(doc).alias("id"), v.alias("v"), key["a"].alias("a"), key["b"].alias("b"), (F.octet_length(F.coalesce(F.col(text), F.lit(""))) / LETTERS + 1).cast("bigint").alias("size"), band_keys(F.col(text)).alias("keys"))
-    hashed = materialize(hashed)
-    copies = materialize(hashed.groupBy("a", "b").agg(F.min("v").alias("r"), F.count("*").alias("n")))
-    repeated = copies.filter("n > 1").select("a", "b", "r")
-    # one vertex for each distinct text: those without copies, and the first of the others
-    first = hashed.join(repeated, ["a", "b"], "left").filter("r IS NULL OR r = v").filter("keys IS NOT NULL")
-    texts = docs.select(v.alias("v"), F.col(text).alias("t"))
-    labels = link_classes(first.select("v", "keys", "size"), texts, threshold)
-    out = hashed.select("id", "v", "a", "b").join(repeated, ["a", "b"], "left").select("id", F.coalesce("r", "v").alias("r"))
-    out = out.join(labels.select(F.col("v").alias("r"), "label"), "r", "left")
-    name = lambda c: F.when(c == last, F.lit(None)).otherwise(c)
-    return out.select(F.col("id").alias("doc_id"), name(F.coalesce("label", "r")).cast("bigint").alias("class_id"), name(F.col("r")).cast("bigint").alias("copy_of"))
+    # rows are numbered as they are written
+    hashed = materialize(hashed.withColumn("w", F.monotonically_increasing_id()))
+    copies = materialize(hashed.groupBy("a", "b").agg(F.min("v").alias("r"), F.min("w").alias("u"), F.count("*").alias("n")))
+    repeated = copies.filter("n > 1").select("a", "b", "r", "u")
+    # one vertex for each distinct text: the row of least number
+    rows = hashed.join(repeated, ["a", "b"], "left").withColumns({"r": F.coalesce("r", "v"), "u": F.coalesce("u", "w")})
+    first = rows.filter("u = w AND keys IS NOT NULL").select(F.col("w").alias("v"), "r", "a", "b", "keys", "size")
+    texts = docs.select(v.alias("r"), key["a"].alias("a"), key["b"].alias("b"), F.col(text).alias("t"))
+    labels = link_classes(first, texts, threshold)
+    # a class is named by the least of its texts
+    named = materialize(first.select(F.col("v").alias("u"), "r", "a", "b").join(labels.withColumnRenamed("v", "u"), "u"))
+    least = named.groupBy("label").agg(F.min(F.struct("r", "a", "b")).alias("c"))
+    named = named.select("u", "label").join(least, "label").select("u", "c")
+    out = rows.select("id", "v", "a", "b", "r", "u").join(named, "u", "left").withColumn("c", F.coalesce("c", F.struct("r", "a", "b")))
+    return out.select("id", "v", "a", "b", "r", F.col("c.r").alias("cv"), F.col("c.a").alias("ca"), F.col("c.b").alias("cb"))
+
+
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id (the least id of the class), copy_of (the least id among equal texts)."""
+    name = lambda c: F.when(F.col(c) == LAST, F.lit(None)).otherwise(F.col(c)).cast("bigint")
+    return classes(docs, doc, text, threshold).select(F.col("id").alias("doc_id"), name("cv").alias("class_id"), name("r").alias("copy_of"))
