@@ -21,15 +21,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of near duplicates stays."""
-    last = F.lit(2**63 - 1)
-    classes = materialize(near_dedup.near_duplicates(docs))
-    stay = classes.filter("doc_id <=> class_id").groupBy(F.coalesce("doc_id", last).alias("__id")).agg(F.count("*").alias("__n"))
+    """The document of least id of each class of near duplicates stays: one row of the class's least id and text."""
+    found = materialize(near_dedup.classes(docs))
+    stay = found.filter("v = cv AND a = ca AND b = cb").groupBy(F.col("v").alias("__v"), F.col("a").alias("__a"), F.col("b").alias("__b")).agg(F.count("*").alias("__n"))
     stay = materialize(stay)
-    out = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), last)).join(broadcast_if_small(stay.select("__id")), "__id", "left_semi")
-    if stay.filter("__n > 1").limit(1).count():  # rows that share an id
-        out = out.dropDuplicates(["__id"])
-    return out.select(*docs.columns)
+    key = near_dedup.address(F.col("text"))
+    rows = docs.withColumns({"__v": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(near_dedup.LAST)), "__a": key["a"], "__b": key["b"]})
+    out = rows.join(broadcast_if_small(stay), ["__v", "__a", "__b"])
+    if not stay.filter("__n > 1").limit(1).count():
+        return out.select(*docs.columns)
+    # of rows of the same id and text, the least by all columns
+    one = out.filter("__n > 1").groupBy("__v", "__a", "__b").agg(F.min(F.struct(*docs.columns)).alias("__r")).select("__r.*")
+    return out.filter("__n = 1").select(*docs.columns).unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,14 @@ def test_stages(spark, folder):
             continue
         assert got == left
     assert corpus_pipeline.run(spark, path).count() == len(left)
+
+
+def test_near_dedup_keeps_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(18)
+    texts = [prose(rng, 60) for _ in range(9)]
+    rows = [(5, texts[0]), (None, texts[0] + " more"), (None, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[3] + " more"), (7, texts[4]), (7, texts[5]), (7, texts[6]), (7, texts[6]), (8, texts[4]), (9, texts[7])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.near_dedup_stage(spark, docs, str(tmp_path)).collect()
+    got = sorted(r.text for r in out)
+    some = [texts[3], texts[3] + " more"]
+    assert got in [sorted([*texts[:3], *texts[4:8], s]) for s in some]
