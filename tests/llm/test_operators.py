@@ -340,6 +340,19 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     assert sorted(sizes.values()) == [1, 1, 1, 1, 2, 2, 2, 2]
 
 
+def test_bands_find_near_texts_with_a_repeated_line():
+    rng = random.Random(15)
+    for k in range(30):
+        base = " ".join(f"a{rng.randrange(10**9)}" for _ in range(84))
+        line = " ".join(f"b{rng.randrange(10**9)}" for _ in range(12))
+        h, doc, n = near_dedup.shingles([base, base + (" " + line) * 1000, ""])
+        sets = [set(h[doc == i]) for i in range(2)]
+        assert len(sets[0] & sets[1]) >= near_dedup.THRESHOLD * len(sets[0] | sets[1])
+        keys, number = near_dedup.keys_of(h, doc, n, 3)
+        assert number.tolist() == [near_dedup.BANDS, 2 * near_dedup.BANDS, 0]
+        assert set(keys[: near_dedup.BANDS]) & set(keys[near_dedup.BANDS :])
+
+
 def test_prob_min_hash_estimates_jaccard():
     rng = random.Random(13)
     base = prose(rng, 400).split()

@@ -6,7 +6,9 @@ agree in a register with the probability Jaccard similarity of their weighted sh
 soon as its next arrival comes after the latest time in any register (early termination); most elements of a long
 text send one arrival.
 
-The registers are cut into bands. Copies (texts of equal content) are one vertex. The vertices of a band bucket gather
+The registers are cut into bands. What decides is the similarity of the plain sets of shingles, so a text with repeated
+shingles has bands of registers at equal weights beside the weighted ones (without repeats both are the same): a heavily
+repeated line parts two texts in the weighted bands only. Copies (texts of equal content) are one vertex. The vertices of a band bucket gather
 around its least one; the groups of all leaders hold every two vertices that share a bucket. Within a group the exact
 Jaccard similarity of every two sets of shingles is computed, at 0.8 or more a link: a group beyond BLOCK shingles is
 cut into blocks, and each two blocks are one task's matrix product, so no task holds more than two blocks, and of the
@@ -99,7 +101,7 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def signatures(h: np.ndarray, doc: np.ndarray, count: np.ndarray, texts: int) -> np.ndarray:
-    """Registers (texts x M) of winning elements; 0 where a text has no shingle. All texts go through their rounds of arrivals together."""
+    """Registers (texts x M) of winning elements, at weights 1 + ln(count); 0 where a text has no shingle. All texts go through their rounds of arrivals together."""
     best = np.full(texts * M, np.inf)
     who = np.zeros(texts * M, np.uint64)
     rate = 1.0 + np.log(count)
@@ -127,6 +129,23 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def keys_of(h: np.ndarray, doc: np.ndarray, count: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of all texts, one after another, and how many each has: none without a shingle, twice as many with a repeated one."""
+    plain = bands_of(signatures(h, doc, np.ones_like(count), texts))
+    some = np.bincount(doc, minlength=texts) > 0
+    many = np.flatnonzero(np.bincount(doc[count > 1], minlength=texts))
+    number = np.where(some, BANDS, 0)
+    number[many] *= 2
+    at = np.cumsum(number) - number
+    out = np.zeros(int(number.sum()), np.int64)
+    out[(at[some][:, None] + np.arange(BANDS)).ravel()] = plain[some].ravel()
+    if len(many):
+        here = np.isin(doc, many)
+        weighted = bands_of(signatures(h[here], np.searchsorted(many, doc[here]), count[here], len(many)))
+        out[(at[many][:, None] + BANDS + np.arange(BANDS)).ravel()] = weighted.ravel()
+    return out, number
+
+
 def _runs(batch: pa.Array) -> Iterator[list[str | None]]:
     part, size = [], 0
     for t in batch.to_pylist():
@@ -145,14 +164,15 @@ def band_keys(text: Column) -> Column:
     @F.arrow_udf("array<bigint>")
     def prob_min_hash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            keys, some = [], []
+            keys, numbers = [], []
             for texts in _runs(batch):
                 h, doc, n = shingles(texts)
-                keys.append(bands_of(signatures(h, doc, n, len(texts))))
-                some.append(np.bincount(doc, minlength=len(texts)) > 0)
-            flat = np.concatenate(keys).ravel() if keys else np.zeros(0, np.int64)
-            ok = np.concatenate(some) if some else np.zeros(0, bool)
-            at = pa.array(np.arange(len(ok) + 1, dtype=np.int32) * BANDS, pa.int32(), mask=np.concatenate((~ok, [False])))
+                k, number = keys_of(h, doc, n, len(texts))
+                keys.append(k)
+                numbers.append(number)
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+            at = pa.array(np.concatenate(([0], np.cumsum(number))).astype(np.int32), pa.int32(), mask=np.concatenate((number == 0, [False])))
             yield pa.ListArray.from_arrays(at, pa.array(flat, pa.int64()))
 
     return prob_min_hash(text)
@@ -254,7 +274,7 @@ def link_classes(vertices: DataFrame, texts: DataFrame, threshold: float = THRES
     two = lambda i: F.struct(F.least(own, i).alias("i"), F.greatest(own, i).alias("j"))
     placed = member.join(groups, "x").select("v", "x", F.when(F.col("nb") == 1, F.array(F.struct(F.pmod(F.xxhash64("x"), F.lit(packs)).cast("int").alias("i"), F.lit(-1).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), two)).alias("at"))
     cells = placed.select("v", F.explode("at").alias("c"), "x").select("v", F.struct(F.when(F.col("c.j") < 0, F.lit(0)).otherwise(F.col("x")).alias("g"), "c.i", "c.j", "x").alias("p"))
-    # a vertex has few leaders, at most one for each band
+    # a vertex has few leaders, at most one for each of its band keys
     of = materialize(cells.groupBy("v").agg(F.collect_list("p").alias("ps")).join(vertices.select("v", "r", "a", "b"), "v"))
     chosen = texts.join(broadcast_if_small(of), ["r", "a", "b"]).groupBy("v").agg(F.first("t").alias("t"), F.first("ps").alias("ps"))
     ready = chosen.select("v", shingle_set(F.col("t")).alias("s"), "ps").select("v", "s", F.explode("ps").alias("p")).select("v", "s", "p.*")
