@@ -4,14 +4,16 @@ A window is a run of L words of an item (L = 10, or the whole of a shorter item)
 hash of every w = L - k + 1 consecutive k-grams (k = 5, or L if that is less). A window that occurs in a document
 covers exactly w k-grams there, whose minimum both sides keep, so joining the kept fingerprints finds every document
 that holds a window: none is missed. The hits are then extended in the documents found, by an equi-join of their
-windows with those of the items on two k-gram hashes (128 bits) that cover all L words.
+windows with those of the items on the hashes of their first and last k-gram, which cover all L words: 128 bits
+together, or 64 for an item of at most k words, which is one k-gram.
 
 Documents with equal texts are found once: a text is known by a 128-bit key, one row stands for it, and results are
 joined back on the key.
 
 Cases: null and empty texts have no words and no hits; items without words have no window; items repeat or share
 windows freely; null item ids are not listed; repeated rows each get their text's result; empty tables work on
-either side; other columns are not read.
+either side; other columns are not read, and of those that are kept, one that is
+named as a column of the result gives way to it.
 """
 
 from __future__ import annotations
@@ -102,24 +104,17 @@ def hits_by_text(docs: DataFrame, bench: DataFrame, doc: str = "doc_id", text: s
     row_id = F.coalesce(F.col(doc).cast("string"), F.lit(""))
     base = docs.select(row_id.alias("id"), F.col(text).alias("t")).withColumn("k", text_key(F.col("t")))
     prints = broadcast_if_small(train.select(F.col("len"), F.col("f")).distinct())
-    # 1. documents that keep a fingerprint of an item
-    found = None
-    for k in sorted({min(GRAM, n) for n in lengths}):
-        of = [n for n in lengths if min(GRAM, n) == k]
-        hashed = base.select("id", "k.a", "k.b", grams(words(F.col("t")), k).alias("g"))
-        kept = F.concat(*[F.transform(winnowed(F.col("g"), n - k + 1), _labelled(n)) for n in of])
-        rows = hashed.select("id", "a", "b", F.inline(kept)).join(prints, ["len", "f"], "left_semi").select("id", "a", "b")
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
+    if not lengths:
         return docs.sparkSession.createDataFrame([], "a bigint, b bigint, n_hit bigint, items array<string>")
+    sizes = {k: [n for n in lengths if min(GRAM, n) == k] for k in sorted({min(GRAM, n) for n in lengths})}
+    hashed = lambda rows: rows.select("*", words(F.col("t")).alias("w")).drop("t").select("*", *[grams(F.col("w"), k).alias(f"g{k}") for k in sizes]).drop("w")
+    # 1. documents that keep a fingerprint of an item, in one pass
+    kept = F.concat(*[F.transform(winnowed(F.col(f"g{k}"), n - k + 1), _labelled(n)) for k, of in sizes.items() for n in of])
+    found = hashed(base.select("id", "k.a", "k.b", "t")).select("id", "a", "b", F.inline(kept)).join(prints, ["len", "f"], "left_semi").select("id", "a", "b")
     one = materialize(found.groupBy("a", "b").agg(F.min("id").alias("id")))
     # 2. their windows, each text once
     chosen = base.select("id", "k.a", "k.b", "t").join(broadcast_if_small(one), ["a", "b", "id"], "left_semi")
-    cut = None
-    for k in sorted({min(GRAM, n) for n in lengths}):
-        of = [n for n in lengths if min(GRAM, n) == k]
-        rows = chosen.select("a", "b", grams(words(F.col("t")), k).alias("g")).select("a", "b", F.inline(F.concat(*[windows(F.col("g"), n) for n in of])))
-        cut = rows if cut is None else cut.unionByName(rows)
+    cut = hashed(chosen).select("a", "b", F.inline(F.concat(*[windows(F.col(f"g{k}"), n) for k, of in sizes.items() for n in of])))
     known = train.groupBy("len", "p", "q").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = cut.join(broadcast_if_small(materialize(known)), ["len", "p", "q"])
     by_text = found.groupBy("a", "b").agg(F.collect_set(F.struct("at", "len")).alias("s"), F.collect_set("items").alias("i"))
@@ -129,6 +124,7 @@ def hits_by_text(docs: DataFrame, bench: DataFrame, doc: str = "doc_id", text: s
 def contamination(docs: DataFrame, bench: DataFrame, keep: list[str], doc: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Each document's kept columns with n_words, n_hit and items (ids as strings, sorted)."""
     hits = materialize(hits_by_text(docs, bench, doc, text, window=window)).select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("n_hit").alias("__n_hit"), F.col("items").alias("__items"))
+    keep = [c for c in keep if c not in ("n_words", "n_hit", "items")]
     key = text_key(F.col(text))
     rows = docs.select(*keep, key["a"].alias("__a"), key["b"].alias("__b"), word_count(F.col(text)).cast("bigint").alias("__n"))
     out = rows.join(broadcast_if_small(hits), ["__a", "__b"], "left")

@@ -8,7 +8,8 @@ Positions come without a Python function: the text is split at a rule's matches,
 the pieces and of the matches are the code point offsets.
 
 Cases: null texts are read as empty and hold no secret; empty texts likewise; repeated rows each get their blob's
-findings; null paths keep their row; an empty table gives empty results; other columns are not read.
+findings; null paths keep their row; an empty table gives empty results; other columns are not read, and of
+those that are kept, one that is named as a column of the result gives way to it.
 """
 
 from __future__ import annotations
@@ -89,13 +90,13 @@ def scan(versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE
     return new.select("blob", F.lit(version).alias("rule_version"), spans_of(F.col("text"), rules).alias("spans"))
 
 
-def findings(versions: DataFrame, ledger: DataFrame, version: str = VERSION, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """All paths (the kept columns of versions) with the blob's spans; empty where it has none. The ledger must be a written table. Only blobs with findings are joined: broadcast while they are few, else by a shuffle, where a blob of many paths is a skewed key whose partitions adaptive execution splits."""
-    keep = keep or [c for c in versions.columns if c != text]
+def findings(versions: DataFrame, ledger: DataFrame, version: str = VERSION, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("blob", "spans")) -> DataFrame:
+    """All paths (the kept columns of versions) with the blob and its spans, under ``names`` (a kept column of such a name gives way); spans are empty where a blob has none. The ledger must be a written table. Only blobs with findings are joined: broadcast while they are few, else by a shuffle, where a blob of many paths is a skewed key whose partitions adaptive execution splits."""
+    keep = [c for c in keep or [c for c in versions.columns if c != text] if c not in names]
     paths = versions.select(*keep, blob_of(F.col(text)).alias("__blob"))
     hits = ledger.filter((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     out = paths.join(broadcast_if_small(hits), "__blob", "left")
-    return out.select(*keep, F.col("__blob").alias("blob"), F.coalesce("__spans", F.from_json(F.lit("[]"), SPAN)).alias("spans"))
+    return out.select(*keep, F.col("__blob").alias(names[0]), F.coalesce("__spans", F.from_json(F.lit("[]"), SPAN)).alias(names[1]))
 
 
 def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
@@ -140,6 +141,6 @@ class Ledger:
         return self.rows()
 
 
-def scan_documents(docs: DataFrame, keep: list[str], text: str = "text", rules: tuple[Rule, ...] = BASE) -> DataFrame:
+def scan_documents(docs: DataFrame, keep: list[str], text: str = "text", rules: tuple[Rule, ...] = BASE, names: tuple[str, str] = ("blob", "spans")) -> DataFrame:
     """Scan all documents against an empty ledger and give each its spans. The ledger rows are written first, as they serve every path."""
-    return findings(docs, materialize(scan(docs, text, rules)), text=text, keep=keep)
+    return findings(docs, materialize(scan(docs, text, rules)), text=text, keep=keep, names=names)
