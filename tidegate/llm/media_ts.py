@@ -4,7 +4,9 @@
 TABLES_EVERY units, then elementary packets of UNIT bytes with a presentation time stamp, cut into packets of 188
 bytes with continuity counters; every unit starts with a clock reference and a random-access mark. :func:`demux` reads
 any such stream back: it parses program tables (checking their CRC), checks continuity counters, reassembles
-elementary packets, and lists time stamps and random-access points.
+elementary packets, and lists time stamps (presentation, decoding, clock) and random-access points. Where the stream
+loses step (bytes lost or added), it goes on at the next place from which sync bytes follow at the right distance.
+Program tables may span packets, and a packet may hold several.
 
 Cases: a null payload has null media; an empty payload is a stream of tables alone; media that is null or not a stream
 parses to no streams with its faults counted; lost, repeated or damaged packets are counted, and what can be
@@ -102,16 +104,21 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
+def read_stamp(a: bytes) -> int:
+    return (a[0] >> 1 & 7) << 30 | a[1] << 22 | a[2] >> 1 << 15 | a[3] << 7 | a[4] >> 1
+
+
 @dataclass
 class Stream:
     """What is read of one elementary stream."""
 
     pid: int
     kind: int = 0
-    units: list[tuple[int | None, bool, int]] = field(default_factory=list)
+    units: list[tuple[int | None, bool, int, int | None, int | None]] = field(default_factory=list)
     parts: list[bytes] = field(default_factory=list)
     open_: list[bytes] = field(default_factory=list)
     rap: bool = False
+    clock: int | None = None
 
     def close(self) -> int:
         """Take in the elementary packet that is open; 1 if it is damaged."""
@@ -122,12 +129,10 @@ class Stream:
             return 1
         told, start = int.from_bytes(data[4:6], "big"), 9 + data[8]
         stop = 6 + told if told else len(data)
-        pts = None
-        if data[7] & 0x80 and data[8] >= 5:
-            a = data[9:14]
-            pts = (a[0] >> 1 & 7) << 30 | a[1] << 22 | a[2] >> 1 << 15 | a[3] << 7 | a[4] >> 1
+        pts = read_stamp(data[9:14]) if data[7] & 0x80 and data[8] >= 5 else None
+        dts = read_stamp(data[14:19]) if data[7] & 0xC0 == 0xC0 and data[8] >= 10 else None
         part = data[start:stop]
-        self.units.append((pts, self.rap, len(part)))
+        self.units.append((pts, self.rap, len(part), dts, self.clock))
         self.parts.append(part)
         return int(stop > len(data))
 
@@ -144,70 +149,124 @@ class Parsed:
     damaged: int = 0
 
 
+def in_step(media: bytes, at: int) -> int:
+    """The next place from which sync bytes follow at the distance of packets, as far as two packets on; the end if there is none."""
+    while (at := media.find(b"\x47", at)) >= 0:
+        if all(media[k] == SYNC for k in range(at + PACKET, min(at + 2 * PACKET + 1, len(media)), PACKET)):
+            return at
+        at += 1
+    return len(media)
+
+
+class Tables:
+    """Sections of program tables as they come in over packets."""
+
+    def __init__(self, out: Parsed):
+        self.out, self.seen, self.open = out, {PAT_PID: b""}, {}
+
+    def take(self, pid: int, start: bool, body: bytes, broken: bool) -> None:
+        """The body of a packet of a table; ``broken`` if packets before it are missing."""
+        if broken and self.open.pop(pid, b""):
+            self.out.table_faults += 1
+        if start:
+            if not body:
+                return
+            stop = 1 + body[0]
+            if pid in self.open:
+                self.read(pid, self.open[pid] + body[1:stop])
+                if self.open.pop(pid, b""):  # cut off by a new section
+                    self.out.table_faults += 1
+            self.read(pid, body[stop:])
+        elif pid in self.open:
+            self.read(pid, self.open[pid] + body)
+
+    def read(self, pid: int, data: bytes) -> None:
+        """Take whole sections; what is left waits for the next packet."""
+        while len(data) >= 3 and data[0] != 0xFF:
+            size = 3 + ((data[1] & 15) << 8 | data[2])
+            if size > len(data):
+                break
+            self.section(pid, data[:size])
+            data = data[size:]
+        self.open.pop(pid, None)
+        if data and data[0] != 0xFF:
+            self.open[pid] = data
+
+    def section(self, pid: int, sec: bytes) -> None:
+        size = len(sec)
+        if size < 12 or self.seen.get(pid) != sec and crc32_mpeg(sec):
+            self.out.table_faults += 1
+            return
+        if self.seen.get(pid) == sec:
+            return
+        self.seen[pid] = sec
+        if pid == PAT_PID:
+            for i in range(8, size - 4, 4):
+                number, of = int.from_bytes(sec[i : i + 2], "big"), int.from_bytes(sec[i + 2 : i + 4], "big") & NULL_PID
+                if number:
+                    self.out.programs[number] = of
+                    self.seen.setdefault(of, b"")
+            return
+        i = 12 + ((sec[10] & 15) << 8 | sec[11])
+        while i + 5 <= size - 4:
+            of = int.from_bytes(sec[i + 1 : i + 3], "big") & NULL_PID
+            self.out.streams.setdefault(of, Stream(of)).kind = sec[i]
+            i += 5 + ((sec[i + 3] & 15) << 8 | sec[i + 4])
+
+
 def demux(media: bytes) -> Parsed:
     """Parse a transport stream; never raises."""
     out, counters, last = Parsed(), {}, {}
-    tables: dict[int, bytes] = {}
-    for lo in range(0, len(media) - PACKET + 1, PACKET):
-        p = media[lo : lo + PACKET]
+    tables, at_packet = Tables(out), 0
+    while at_packet + PACKET <= len(media):
+        p = media[at_packet : at_packet + PACKET]
+        if p[0] != SYNC:
+            step = in_step(media, at_packet + 1)
+            out.damaged += max(1, (step - at_packet) // PACKET)
+            at_packet = step
+            continue
+        at_packet += PACKET
         out.packets += 1
-        if p[0] != SYNC or p[1] & 0x80:
+        if p[1] & 0x80:
             out.damaged += 1
             continue
         pid, control = (p[1] & 31) << 8 | p[2], p[3] >> 4 & 3
         if pid == NULL_PID or not control & 1:
             continue
-        rap, jump, at = False, False, 4
+        rap, jump, clock, at = False, False, None, 4
         if control & 2:
             size = p[4]
+            if size > PACKET - 5:
+                out.damaged += 1
+                continue
             if size:
                 rap, jump = bool(p[5] & 0x40), bool(p[5] & 0x80)
+            if size >= 7 and p[5] & 0x10:
+                clock = (p[6] << 25 | p[7] << 17 | p[8] << 9 | p[9] << 1 | p[10] >> 7) * 300 + ((p[10] & 1) << 8 | p[11])
             at = 5 + size
-            if at > PACKET:
-                out.damaged += 1
-                continue
-        counter = p[3] & 15
+        counter, broken = p[3] & 15, False
         was = counters.get(pid)
         if was is not None and not jump:
             if counter == was and last.get(pid) == p:
                 continue  # a packet may be sent twice
             if counter != (was + 1 & 15):
                 out.counter_faults += 1
+                broken = True
         counters[pid], last[pid] = counter, p
         start, body = p[1] & 0x40, p[at:]
-        if pid == PAT_PID or pid in tables:
-            if not start or not body:
-                continue
-            sec = body[1 + body[0] :]
-            size = 3 + ((sec[1] & 15) << 8 | sec[2]) if len(sec) > 3 else 0
-            if not size or size > len(sec) or size < 12 or crc32_mpeg(sec[:size]):
-                out.table_faults += 1
-                continue
-            if tables.get(pid) == sec[:size]:
-                continue
-            tables[pid] = sec[:size]
-            if pid == PAT_PID:
-                for i in range(8, size - 4, 4):
-                    number, of = int.from_bytes(sec[i : i + 2], "big"), int.from_bytes(sec[i + 2 : i + 4], "big") & NULL_PID
-                    if number:
-                        out.programs[number] = of
-                        tables.setdefault(of, b"")
-            else:
-                i = 12 + ((sec[10] & 15) << 8 | sec[11])
-                while i + 5 <= size - 4:
-                    of = int.from_bytes(sec[i + 1 : i + 3], "big") & NULL_PID
-                    out.streams.setdefault(of, Stream(of)).kind = sec[i]
-                    i += 5 + ((sec[i + 3] & 15) << 8 | sec[i + 4])
+        if pid in tables.seen:
+            tables.take(pid, bool(start), body, broken)
             continue
         s = out.streams.get(pid)
         if s is None:
             continue
         if start:
             out.damaged += s.close()
-            s.rap = rap
+            s.rap, s.clock = rap, clock
             s.open_.append(body)
         elif s.open_:
             s.open_.append(body)
+    out.table_faults += len(tables.open)
     for s in out.streams.values():
         out.damaged += s.close()
     return out
@@ -231,8 +290,8 @@ def to_media(payload: Column) -> Column:
     return ts_mux(payload)
 
 
-PARSED = "struct<payload:binary,programs:int,kinds:string,units:array<struct<pts:bigint,random_access:boolean,size:int>>,packets:bigint,counter_faults:int,table_faults:int,damaged:int>"
-_UNIT = pa.struct([("pts", pa.int64()), ("random_access", pa.bool_()), ("size", pa.int32())])
+PARSED = "struct<payload:binary,programs:int,kinds:string,units:array<struct<pts:bigint,random_access:boolean,size:int,dts:bigint,clock:bigint>>,packets:bigint,counter_faults:int,table_faults:int,damaged:int>"
+_UNIT = pa.struct([("pts", pa.int64()), ("random_access", pa.bool_()), ("size", pa.int32()), ("dts", pa.int64()), ("clock", pa.int64())])
 _ARROW = pa.struct([("payload", pa.binary()), ("programs", pa.int32()), ("kinds", pa.string()), ("units", pa.list_(_UNIT)), ("packets", pa.int64()), ("counter_faults", pa.int32()), ("table_faults", pa.int32()), ("damaged", pa.int32())])
 
 
@@ -246,7 +305,7 @@ def parse_media(media: Column) -> Column:
             for m in batch.to_pylist():
                 p = demux(m or b"")
                 streams = [p.streams[k] for k in sorted(p.streams)]
-                units = [{"pts": t, "random_access": r, "size": n} for s in streams for t, r, n in s.units]
+                units = [{"pts": t, "random_access": r, "size": n, "dts": d, "clock": c} for s in streams for t, r, n, d, c in s.units]
                 rows.append({"payload": b"".join(x for s in streams for x in s.parts), "programs": len(p.programs), "kinds": ",".join(f"{s.pid}:{s.kind}" for s in streams), "units": units, "packets": p.packets, "counter_faults": p.counter_faults, "table_faults": p.table_faults, "damaged": p.damaged})
             yield pa.array(rows, _ARROW)
 
