@@ -6,9 +6,11 @@ shard counts is drawn exactly (on the driver; it has one row of counts for each
 rows are permuted within their block and dealt to shards by the drawn counts, exchanged, and permuted again within
 their shard. Every row then has a shard and a gapless slot, sizes are at most one apart, and the order is uniform.
 
-Blocks and the sub-ranges in which a shard is permuted grow in number with the rows, so no task holds more than a
-bounded part. All random choices come from hashes of the row's content under a seed, so a retried task decides as
-before.
+Blocks and the sub-ranges in which a shard is permuted grow in number with the rows, so that a task sorts BLOCK_ROWS
+rows on average (a few numbers each, no texts); beyond MOST_BLOCKS blocks, at 13e9 rows, blocks grow instead, since
+the driver draws a row of counts for each. Rows equal in id and text are told apart by a number, so that they spread
+over blocks however many they are. All random choices come from hashes of the row's content and that number under a
+seed, so a retried task decides as before.
 
 Cases: null ids and null texts are values like others; rows equal in id and text are interchangeable and get slots of
 their own; an empty table gives an empty result; other columns are not read.
@@ -28,7 +30,9 @@ from tidegate.llm._common import materialize
 #: Rows of a block, and of a sub-range of a shard, on average.
 BLOCK_ROWS = 200_000
 #: Bounds on the number of blocks: the matrix that the driver draws and every task gets has one row for each.
-LEAST_BLOCKS, MOST_BLOCKS = 64, 16_384
+LEAST_BLOCKS, MOST_BLOCKS = 64, 65_536
+#: Copies of a row that one task numbers at a time.
+COPIES = 100_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -112,6 +116,16 @@ def assign(rows: DataFrame, shards: int = 16, seed: int = 42, block_rows: int =
     return ordered.join(before, ["shard", "__sub"]).withColumn("slot", (F.col("__before") + F.col("__k")).cast("bigint")).drop("__o", "__sub", "__k", "__before", "__h")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows with a column ``__h`` that is the same for equal rows, to rows in which it differs: equal rows are counted, and come out again under the hash of their number."""
+    counted = materialize(rows.groupBy(*rows.columns).agg(F.count("*").alias("__n")))
+    parts = counted.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / COPIES))))
+    if counted.filter(F.col("__n") > COPIES).limit(1).count():
+        parts = parts.repartition("__h", "__c")
+    numbers = F.sequence(F.col("__c") * COPIES, F.least(F.col("__n"), (F.col("__c") + 1) * COPIES) - 1)
+    return parts.withColumn("__i", F.explode(numbers)).withColumn("__h", F.xxhash64("__h", "__i")).select(*rows.columns)
+
+
 def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
@@ -120,7 +134,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 42, text: str
     """One row for each document: id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot, grown_shard (null: the law is ``rows``). Texts are read once and do not move."""
     raw = utf8(F.col(text))
     rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(raw) + 1).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(F.col(key), F.col(text)).alias("__h"))
-    out = assign(materialize(rows), shards, seed)
+    out = assign(materialize(spread(rows)), shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
