@@ -123,6 +123,8 @@ def test_token_rollup(spark, docs, tmp_path):
     assert {(r.source, r.tokenizer, r.n_docs) for r in store.totals().collect()} == {("t", "bpe", len(texts) // 2), ("t", "words-1", len(texts) // 2)}
     with pytest.raises(ValueError):
         store.commit("../x", token_counts.inserts(rows))
+    plan = token_counts.rolled(token_counts.inserts(rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan  # each text is counted once
 
 
 def brute_dedup(rows):
@@ -272,10 +274,10 @@ def test_decontamination(spark, empty):
     rows = [(i, t) for i, t in enumerate(texts + texts[:3])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    out = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(df.drop("n_words"), bench, ["doc_id"]).collect()}
+    out = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(df, bench, ["doc_id"]).collect()}
     assert out == {i: brute_contamination(t, items) for i, t in rows}
     assert decontam.contamination(empty, bench, ["doc_id"]).count() == 0
-    none = decontam.contamination(df.drop("n_words"), bench.limit(0), ["doc_id"]).collect()
+    none = decontam.contamination(df, bench.limit(0), ["doc_id"]).collect()
     assert all(r.n_hit == 0 for r in none) and len(none) == len(rows)
 
 
@@ -327,6 +329,27 @@ def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
     assert out == brute_classes(rows)
 
 
+def test_blocks_when_no_member_is_near_the_leader(spark, monkeypatch):
+    """One bucket holds everything, so all links but the leader's are found in blocks, and the triangle inequality drops none."""
+    rng = random.Random(21)
+    rows, k = [], 0
+    for _ in range(12):
+        base = prose(rng, 100).split()
+        for _ in range(rng.randint(1, 9)):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(100)] = f"w{k}"
+            rows.append((k, " ".join(w)))
+            k += 1
+    rng.shuffle(rows)
+    monkeypatch.setattr(near_dedup, "BLOCK", 1500)
+    monkeypatch.setattr(near_dedup, "VERTICES", 10)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_dedup, "band_keys", lambda text: F.array(F.lit(1).cast("bigint")))
+    out = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert out == brute_classes(rows)
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     rng = random.Random(14)
     base = [prose(rng, 80) for _ in range(4)]
@@ -385,3 +408,119 @@ def test_article_paragraphs_that_recur_stay(spark):
     rows = [(i, "http://h/", f"<article><h1>{i}</h1><p>A passage that everyone quotes.</p><p>own {i}</p></article>") for i in range(20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert all("everyone quotes" in r.text for r in html_text.extract_pages(df, ["page_id"]).collect())
+
+
+def test_html_deep_and_named_sections():
+    assert html_text.main_text("<div>" * 100_000 + "deep") == "deep"
+    assert html_text.main_text("<p>a" + "<b>" * 50_000 + "b" + "<div>c</div>" * 500 + "</i>" * 5000).startswith("ab c")
+    page = '<article><h1>T</h1><section id="related-work"><p>Prior studies.</p></section><p class="alert">kept</p><div class="share-bar">like</div><p class="ad">buy</p></article>'
+    assert html_text.main_text(page) == "T Prior studies. kept"
+    assert html_text.main_text("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>") == "a b c d e f g"
+
+
+def test_templates_decide_without_articles(spark):
+    """Blocks without telling names, on pages without article or main: held against a count of equal blocks for each host."""
+    rng = random.Random(31)
+    pages, want = [], {}
+    for h, size in enumerate((3, 8, 40, 90)):
+        common = [f"<div class='x{k}'><p>{prose(rng, 8)}</p></div>" for k in range(4)]
+        drawn = []
+        for n in range(size):
+            own = [f"<div><p>{prose(rng, 12)} {h}-{n}</p></div>" for _ in range(2)]
+            blocks = own + [c for k, c in enumerate(common) if rng.random() < (0.9, 0.5, 0.3, 0.08)[k]]
+            rng.shuffle(blocks)
+            drawn.append(blocks)
+        for n, blocks in enumerate(drawn):
+            seen = [sum(b in other for other in drawn) for b in blocks]
+            left = [b for b, k in zip(blocks, seen, strict=True) if size < 5 or k < 5 or k < 0.25 * size]
+            url = f"http://h{h}.example/{n}"
+            pages.append((len(pages), url, "<html><body>" + "".join(blocks) + "</body></html>"))
+            want[url] = " ".join(re.sub("<[^>]*>", "", b) for b in left)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = {r.url: r.text for r in html_text.extract_pages(df, ["url"]).collect()}
+    assert got == want
+    assert sum(html_text.main_text(p) != want[u] for _, u, p in pages) > 100  # what templates change
+
+
+def test_transport_stream_goes_on_after_lost_step():
+    payload = bytes(random.Random(4).randrange(256) for _ in range(30_000))
+    media = media_ts.mux(payload)
+    cut = media[: 188 * 40 + 90] + b"\x47" + media[188 * 40 + 90 :]
+    p = media_ts.demux(cut)
+    got = b"".join(p.streams[media_ts.DATA_PID].parts)
+    assert p.damaged and len(got) >= len(payload) - 2 * media_ts.UNIT and got[:3072] == payload[:3072] and got[-3000:] == payload[-3000:]
+    lost = media_ts.demux(media[: 188 * 40] + media[188 * 40 + 50 :])
+    assert b"".join(lost.streams[media_ts.DATA_PID].parts)[-3000:] == payload[-3000:]
+    assert media_ts.demux(b"x" * 1000).packets == 0 and media_ts.demux(b"").packets == 0
+
+
+def test_transport_stream_tables_over_packets_and_stamps():
+    """A program map of 60 streams takes two packets; stamps and clock are read back."""
+    streams = b"".join(bytes([6]) + (0xE000 | 0x200 + k).to_bytes(2, "big") + b"\xf0\x00" for k in range(60))
+    body = (0xE000 | 0x200).to_bytes(2, "big") + b"\xf0\x00" + streams
+    sec = media_ts.section(2, 1, body)
+    packet = lambda pid, start, n, data: bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, 0x10 | n]) + data + b"\xff" * (184 - len(data))
+    pat = media_ts.section(0, 1, (1).to_bytes(2, "big") + (0xE000 | 0x1000).to_bytes(2, "big"))
+    pes = b"\x00\x00\x01\xbd" + (13 + 4).to_bytes(2, "big") + b"\x80\xc0\x0a" + media_ts.time_stamp(3, 5000) + media_ts.time_stamp(1, 4000) + b"data"
+    field = bytes([183 - len(pes), 0x50]) + bytes([0, 0, 0, 50, 0x7E, 7]) + b"\xff" * (176 - len(pes))
+    data = bytes([0x47, 0x40 | 2, 0x05, 0x30]) + field + pes
+    assert len(data) == 188 and 183 < len(sec)
+    media = packet(0, True, 0, b"\x00" + pat) + packet(0x1000, True, 0, b"\x00" + sec[:183]) + packet(0x1000, False, 1, sec[183:]) + data
+    p = media_ts.demux(media)
+    assert len(p.streams) == 60 and not p.table_faults and not p.damaged
+    assert p.streams[0x205].units == [(5000, True, 4, 4000, 100 * 300 + 7)] and p.streams[0x205].parts == [b"data"]
+    missing = media_ts.demux(media[:376] + media[564:])
+    assert not missing.streams and missing.table_faults
+
+
+def test_every_run_of_sentences(spark):
+    """The operator against hashing literally every run of consecutive sentences, with an own way to cut sentences."""
+    rng = random.Random(41)
+    pool = [" ".join(prose(rng, rng.randint(2, 9)).split()) + "." for _ in range(25)]
+    rows = []
+    for i in range(30):
+        out = []
+        while len(out) < 12:
+            k = rng.randrange(len(pool))
+            out += pool[k : k + rng.randint(1, 5)] if rng.random() < 0.4 else [prose(rng, rng.randint(2, 9)) + "."]
+        rows.append((i, " ".join(out)))
+    cut = {i: [s.strip() for s in re.findall(r"[^.]*\.", t)] for i, t in rows}
+    places = collections.defaultdict(list)
+    for i, s in cut.items():
+        for a in range(len(s)):
+            for b in range(a + 1, len(s) + 1):
+                words = sum(len(x.split()) for x in s[a:b])
+                if b - a >= 2 and words >= 12 or b - a == 1 and words >= 24:
+                    places[tuple(s[a:b])].append((i, a, b))
+    gone = collections.defaultdict(set)
+    for found in places.values():
+        for i, a, b in found[1:]:
+            gone[i] |= set(range(a, b))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.text.split(), r.n_removed) for r in substring_dedup.deduplicate(df).collect()}
+    assert got == {i: (" ".join(x for k, x in enumerate(s) if k not in gone[i]).split(), len(gone[i])) for i, s in cut.items()}
+    assert sum(n for _, n in got.values()) > 20
+
+
+def test_equal_rows_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 100)
+    df = spark.createDataFrame([(7, "same")] * 1500 + [(None, None)] * 300 + [(i, f"t{i}") for i in range(500)], "doc_id long, text string").repartition(4)
+    out = sharding.shard_documents(df).collect()
+    assert collections.Counter(r.shard for r in out).most_common()[0][1] in (143, 144) and len(out) == 2300
+    assert sorted(r.slot for r in out if r.shard == 3) == list(range(sum(r.shard == 3 for r in out)))
+    spread = sharding.spread(df.select("doc_id", F.xxhash64("doc_id", "text").alias("__h")))
+    assert spread.select("__h").distinct().count() == 2300
+
+
+def test_payload_columns_are_those_of_sql(spark, docs):
+    import duckdb
+
+    from tidegate.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    got = sorted((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) for r in queries.op8_transport_streams(spark, folder).collect())
+    want = duckdb.sql(f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM '{folder}/documents.parquet'),
+        p AS (SELECT *, greatest(192, CAST(ceil(n / 192) * 192 AS BIGINT)) AS m FROM d)
+        SELECT doc_id, n, m, sha256(t || repeat(' ', CAST(m - n AS INTEGER))) FROM p ORDER BY ALL""").fetchall()
+    assert got == [tuple(r) for r in want]
