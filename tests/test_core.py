@@ -13,7 +13,7 @@ from tidegate.functions import text as tf
 from tidegate.functions import validators as vd
 from tidegate.operators import analytics, decide, fuel, schema
 from tidegate.operators.match import literal_hits, match
-from tidegate.operators.predicates import check_regex
+from tidegate.operators.predicates import check_regex, named_predicate
 from tidegate.plans import api_import, core_rules, model, seclang
 from tidegate.plans.model import Action, Op, Rule, Target
 from tidegate.session import ship_package
@@ -128,15 +128,15 @@ def run(spark, rules, texts, **how):
 
 
 def test_core_rules_find_attacks_and_pass_clean_text(spark):
-    attacks = ["<script>alert(1)</script>", "1' or '1'='1", "..%252f..%252fetc/passwd", "; cat /etc/passwd", "${jndi:ldap://x}", "php://input", "http://169.254.169.254/", "%26lt;script%26gt;alert(1)", "ignore previous instructions", "=cmd|' /c calc'!a0", "O:8:\"a\":1:{s:1:\"x\";i:1;}", "{{config.items()}}"]
-    clean = ["hello world", "the price is 5 < 6", "O'Brien & sons", "see /docs/a.html", "a+b-c", "x=1"]
+    attacks = ["<script>alert(1)</script>", "1' or '1'='1", "..%252f..%252fetc/passwd", "; cat /etc/passwd", "${jndi:ldap://x}", "php://input", "http://169.254.169.254/", "&lt;script&gt;alert(1)&lt;/script&gt;", "ignore previous instructions", "=cmd|' /c calc'!a0", "O:8:\"a\":1:{s:1:\"x\";i:1;}", "{{config.items()}}"]
+    clean = ["hello world", "%26lt;script%26gt;alert(1)", "the price is 5 < 6", "O'Brien & sons", "see /docs/a.html", "a+b-c", "x=1"]
     hits = run(spark, core_rules.default_rules(), attacks + clean)
     fired = {r.tx_id for r in hits.select("tx_id").distinct().collect()}
-    assert fired == set(range(len(attacks))) - ({7} if 7 not in fired else set())
+    assert fired == set(range(len(attacks)))  # readings do not compose: an entity behind a percent code is no entity to any of them
 
 
 def test_strategies_agree(spark):
-    texts = random_bytes(150, 5, "'\"<>/=();|& oOrR1.p%20hcatselectunion{}$") + ["<script>alert(1)</script>", "/a.php.jpg", "x; cat /etc/passwd", "=cmd|' /c", "Jndi:", "..\\..\\", "a.php?x", "javascript:a(1)", "../web.config", "http://e/x.php"]
+    texts = random_bytes(150, 5, "'\"<>/=();|& oOrR1.p%20hcatselectunion{}$") + ["<script>alert(1)</script>", "/a.php.jpg", "/v.py.php", "x; cat /etc/passwd", "=cmd|' /c", "Jndi:", "..\\..\\", "a.php?x", "javascript:a(1)", "../web.config", "http://e/x.php"]
     found = []
     for how in ("expressions", "automaton"):
         hits = run(spark, core_rules.default_rules(), texts, strategy=how)
@@ -243,7 +243,7 @@ def test_command_line(spark, tmp_path, capsys):
     from tidegate import cli
 
     assert cli.main(["lint"]) == 0 and "rules: 78" in capsys.readouterr().out
-    assert cli.main(["explain", "2010"]) == 0 and "SQL injection" in capsys.readouterr().out
+    assert cli.main(["explain", "2010"]) == 0 and "injected SQL" in capsys.readouterr().out
     path = tmp_path / "c.jsonl"
     path.write_text('# corpus\n\n{"name":"a","target":"/?q=hello"}\n{"method":"POST","target":"/x","body":"{\\"a\\":1}","headers":{"Content-Type":"application/json"}}\n')
     assert cli.main(["calibrate", "--corpus", str(path)]) == 0
@@ -305,3 +305,45 @@ def test_expression_queries_stay_in_the_jvm(spark, tmp_path):
     rules = [Rule(1, 1, (Target("ARGS"),), Op("contains", ("password",)), ("url_decode", "lowercase"))]
     plan = match(d, model.compile_rules(rules), fork=False)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_stateful_chunks_are_those_of_a_table(spark, tmp_path):
+    import datetime
+
+    at = lambda n: datetime.datetime(2024, 1, 1, 0, 0, n)
+    rows = [(1, 1, True, b"b", at(3)), (1, 0, False, b"a", at(2)), (1, 0, False, b"a", at(2)), (2, 0, False, b"x" * 15, at(1)), (2, 1, True, b"y" * 15, at(2)), (3, 0, False, b"q", at(4)), (3, 2, True, b"r", at(5))]
+    kind = "tx_id long, seq int, last boolean, data binary, ts timestamp"
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(f"{tmp_path}/c")
+    table = {(r.tx_id, r.status) for r in streams.assembled(spark.read.parquet(f"{tmp_path}/c"), max_body=20).collect()}
+    spark.createDataFrame([(9, 0, True, b"", datetime.datetime(2100, 1, 1))], kind).write.mode("append").parquet(f"{tmp_path}/c")
+    out = streams.run_to_end(streams.assembled(spark.readStream.schema(kind).parquet(f"{tmp_path}/c"), max_body=20), "chunks").collect()
+    got = {(r.tx_id, r.status): r.body and bytes(r.body) for r in out if r.tx_id < 9}
+    assert got == {(1, "ok"): b"ab", (2, "limit_exceeded"): None, (3, "unfinished"): b"qr"} and table == set(got)
+
+
+def test_rules_are_read_again_for_each_batch(spark, tmp_path):
+    path, seen = f"{tmp_path}/rules", []
+    rule = lambda word: model.rules_frame(spark, [Rule(7, 1, (Target("REQUEST_URI"),), Op("contains_any", (word,)), (), (Action("block"),), "critical")])
+    tx_rows = tx.transactions(spark.createDataFrame([(1, "/one"), (2, "/two")], "tx_id long, target string"))
+    run_batch = streams.ruled(lambda: spark.read.parquet(path), lambda d, i: seen.append({r.tx_id for r in d.filter("verdict = 'block'").collect()}))
+    for word in ("one", "two"):
+        rule(word).write.mode("overwrite").parquet(path)
+        run_batch(tx_rows, 0)
+    spark.createDataFrame([], model.RULE_SCHEMA).union(rule("x").withColumn("severity", F.lit("odd"))).write.mode("overwrite").parquet(path)
+    run_batch(tx_rows, 2)
+    assert seen == [{1}, {2}, {2}]
+
+
+def test_fuel_ends_evaluation(spark):
+    plan = model.compile_rules([Rule(1, 1, (Target("ARGS"),), Op("contains", ("bad",), cost=4), ("lowercase",), (Action("block"),), "critical")])
+    rows = [(1, 0, "BAD"), (2, 0, "x" * 30), (2, 1, "bad"), (3, 0, "ok")]
+    v = spark.createDataFrame([(t, n, 1, "ARGS", "q", d, False) for t, n, d in rows], "tx_id long, value_seq int, arrived int, target string, key string, data string, inert boolean")
+    used = fuel.spent(fuel.metered(v, plan, fork=False), order=("value_seq", "reading_ord"), limit=40)
+    assert {(r.tx_id, r.value_seq): (r.cost, r.exhausted) for r in used.collect()} == {(1, 0): (3 + 6 + 3 + 12, False), (2, 0): (60, True), (2, 1): (3 + 3 + 12, True), (3, 0): (4, False)}
+    d = decide.all_decisions(v.select("tx_id").distinct(), decide.decide(fuel.within(match(v, plan, fork=False), used)), fuel.gates(used))
+    assert {r.tx_id: (r.verdict, r.reason) for r in d.collect()} == {1: ("block", "rule"), 2: ("block", "budget_exhausted"), 3: ("allow", "no_match")}
+
+
+def test_double_extension_ends_with_the_path(spark):
+    got = {r.d: r.h for r in spark.createDataFrame([(x,) for x in ("/v.py.php", "/config.inc.php", "/lib.so.1", "/a.php.jpg", "/x.php.tar.gz")], "d string").select("d", named_predicate("double_extension", F.col("d"), F.col("d")).hit.alias("h")).collect()}
+    assert got == {"/v.py.php": False, "/config.inc.php": False, "/lib.so.1": False, "/a.php.jpg": True, "/x.php.tar.gz": True}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,17 +35,31 @@ def eval_key() -> Column:
     return F.struct(*EVAL_KEY)
 
 
-def without_exceptions(hits: DataFrame, exceptions: DataFrame, path: str = "path") -> DataFrame:
-    """Hits that no exception covers. An exception is a conjunction of what it names: rule (or the rule it derives from), path (exact, or up to a trailing *), target, key. One that names nothing is not used. The table is a hand-written list, and the join a broadcast anti-join."""
-    e = exceptions.filter("rule_id IS NOT NULL OR path IS NOT NULL OR target IS NOT NULL OR key IS NOT NULL").select(F.col("rule_id").alias("__er"), F.col("path").alias("__ep"), F.col("target").alias("__et"), F.col("key").alias("__ek"))
+#: Most exceptions of a table: they are a hand-written list, read on the driver and made part of the plan.
+MAX_EXCEPTIONS = 10_000
+
+
+def covered(exceptions: DataFrame, path: str = "path") -> Column:
+    """Whether an exception covers a hit, as a condition on its row. An exception is a conjunction of what it names: rule (or the rule it derives from), path (exact, or up to a trailing *), target, key. One that names nothing is not used."""
+    named = exceptions.filter("rule_id IS NOT NULL OR path IS NOT NULL OR target IS NOT NULL OR key IS NOT NULL").select("rule_id", "path", "target", "key")
+    rows = named.limit(MAX_EXCEPTIONS + 1).collect()
+    if len(rows) > MAX_EXCEPTIONS:
+        raise ValueError(f"more than {MAX_EXCEPTIONS} exceptions")
+    listed = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), "array<struct<rule_id:bigint,path:string,target:string,key:string>>")
     p = F.col(path)
-    cond = (
-        (F.col("__er").isNull() | (F.col("__er") == F.col("rule_id")) | ((F.col("derived_from") != 0) & (F.col("__er") == F.col("derived_from"))))
-        & (F.col("__ep").isNull() | (p == F.col("__ep")) | (F.col("__ep").endswith("*") & p.startswith(F.expr("substring(__ep, 1, length(__ep) - 1)"))))
-        & (F.col("__et").isNull() | (F.col("__et") == F.col("target")))
-        & (F.col("__ek").isNull() | (F.col("__ek") == F.col("key")))
-    )
-    return hits.join(F.broadcast(e), cond, "left_anti")
+
+    def covers(e: Column) -> Column:
+        rule = e["rule_id"].isNull() | (e["rule_id"] == F.col("rule_id")) | ((F.col("derived_from") != 0) & (e["rule_id"] == F.col("derived_from")))
+        stem = F.substring(e["path"], F.lit(1), F.length(e["path"]) - 1)
+        there = e["path"].isNull() | (p == e["path"]) | (e["path"].endswith("*") & p.startswith(stem))
+        return rule & there & (e["target"].isNull() | (e["target"] == F.col("target"))) & (e["key"].isNull() | (e["key"] == F.col("key")))
+
+    return F.coalesce(F.exists(listed, covers), F.lit(False))
+
+
+def without_exceptions(hits: DataFrame, exceptions: DataFrame, path: str = "path") -> DataFrame:
+    """Hits that no exception covers (:func:`covered`)."""
+    return hits.filter(~covered(exceptions, path))
 
 
 def narrowest_exception(hits: DataFrame, path: str = "path") -> DataFrame:
@@ -61,13 +77,7 @@ def decide(hits: DataFrame, keep: tuple[str, ...] = ("tx_id",), threshold: int =
     came after it does not count, as in a one-pass evaluator; without, the rest counts.
     """
     keep = list(keep)
-    rows = hits.withColumn("__ok", F.lit(True))
-    if exceptions is not None:
-        rid = F.monotonically_increasing_id()
-        marked = hits.withColumn("__row", rid)
-        left = without_exceptions(marked, exceptions, path).withColumn("__ok", F.lit(True))
-        gone = marked.join(left.select("__row"), "__row", "left_anti").withColumn("__ok", F.lit(False))
-        rows = left.unionByName(gone).drop("__row")
+    rows = hits.withColumn("__ok", F.lit(True) if exceptions is None else ~covered(exceptions, path))
     terminal = F.col("action").isin(*TERMINAL)
     ends = terminal if stop_when_suppressed else terminal & F.col("__ok")
     hit = F.struct("rule_id", "derived_from", "target", "key", "off", "len", "matched", "reading_class", "action", "status", "severity", "confidence")

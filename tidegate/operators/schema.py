@@ -86,14 +86,20 @@ def routes(tx: DataFrame, operations: list[Operation], keep: tuple[str, ...] = (
     return tx.select(*keep, "method", "path", found.alias("op_ord"))
 
 
+def routed_rows(tx: DataFrame, operations: list[Operation]) -> DataFrame:
+    """Transactions with ``op_ord`` as a column of their own, so that values which keep it need no join to find their operation."""
+    return routes(tx, operations, tuple(c for c in tx.columns if c not in ("method", "path")))
+
+
 def undeclared(routed: DataFrame) -> DataFrame:
     return routed.filter("op_ord IS NULL")
 
 
-def validated(values: DataFrame, routed: DataFrame, fields: DataFrame, keep: tuple[str, ...] = ("tx_id",)) -> DataFrame:
-    """Values with op_ord, inert and violation. An argument is looked up by name among the fields of its place, else the field of empty name; under a strict operation, an argument without a field is a violation. Values of other targets are left alone."""
+def validated(values: DataFrame, routed: DataFrame | None, fields: DataFrame, keep: tuple[str, ...] = ("tx_id",)) -> DataFrame:
+    """Values with op_ord, inert and violation. An argument is looked up by name among the fields of its place, else the field of empty name; under a strict operation, an argument without a field is a violation. Values of other targets are left alone. Values that carry op_ord (:func:`routed_rows`) stay where they are; others are joined with ``routed``."""
     loc = F.when(F.col("target") == "ARGS", F.when(F.col("arrived") == 1, "query").otherwise("body")).when(F.col("target") == "REQUEST_HEADERS", "header")
-    v = values.join(routed.select(*keep, "op_ord"), list(keep), "left").withColumn("__loc", loc)
+    own = "op_ord" in values.columns
+    v = (values if own else values.join(routed.select(*keep, "op_ord"), list(keep), "left")).withColumn("__loc", loc)
     named = fields.filter("name IS NOT NULL").select(F.col("op_ord").alias("__o"), F.col("field_loc").alias("__l"), F.col("name").alias("__n"), F.struct("kind", "format", "enum", "max_length", "min", "max").alias("__f"))
     wild = named.filter("__n = ''").select(F.col("__o").alias("__wo"), F.col("__l").alias("__wl"), F.col("__f").alias("__w"))
     strict = fields.filter("field_ord = -1").select(F.col("op_ord").alias("__so"), F.col("strict").alias("__strict"))
@@ -107,7 +113,8 @@ def validated(values: DataFrame, routed: DataFrame, fields: DataFrame, keep: tup
     stray = F.col("__strict") & F.col("__loc").isin("query", "body") & f.isNull()
     violation = F.when(f.isNotNull(), bad).when(stray, "undeclared")
     inert = f.isNotNull() & bad.isNull() & vd.inert(f["kind"], f["format"])
-    return v.select(*values.columns[: values.columns.index("inert")] if "inert" in values.columns else values.columns, "op_ord", F.coalesce(inert, F.lit(False)).alias("inert"), violation.alias("violation"))
+    kept = [c for c in values.columns if c not in ("inert", "op_ord")]
+    return v.select(*kept, "op_ord", F.coalesce(inert, F.lit(False)).alias("inert"), violation.alias("violation"))
 
 
 def missing_required(values: DataFrame, routed: DataFrame, fields: DataFrame, keep: tuple[str, ...] = ("tx_id",), query_too: bool = True) -> DataFrame:
@@ -118,6 +125,20 @@ def missing_required(values: DataFrame, routed: DataFrame, fields: DataFrame, ke
     return wanted.join(seen, [*keep, "name", "field_loc"], "left_anti").select(*keep, "name", "field_loc")
 
 
+def missing_in_rows(valued: DataFrame, operations: list[Operation], keep: tuple[str, ...] = ("tx_id",), query_too: bool = True) -> DataFrame:
+    """(keep..., name, field_loc) of required fields that no value has, from transactions with ``op_ord`` and ``entries``: each is judged in its row, nothing is shuffled."""
+    need = {i: [(f.name, loc) for loc, fields in (("query", op.query if query_too else []), ("body", op.body)) for f in fields[:REQUIRED_FIELDS] if f.required] for i, op in enumerate(operations)}
+    need = {i: n for i, n in need.items() if n}
+    kind = "array<struct<name:string,field_loc:string>>"
+    if not need:
+        return valued.limit(0).select(*keep, F.lit("").alias("name"), F.lit("").alias("field_loc"))
+    wanted = F.create_map(*[x for i, n in need.items() for x in (F.lit(i), F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("field_loc")) for a, b in n]))])
+    loc = lambda e: F.when(e["arrived"] == 1, "query").otherwise("body")
+    seen = F.transform(F.filter("entries", lambda e: e["target"] == "ARGS"), lambda e: F.struct(e["key"].alias("name"), loc(e).alias("field_loc")))
+    gone = F.array_except(F.try_element_at(wanted, F.col("op_ord")).cast(kind), seen.cast(kind))
+    return valued.select(*keep, F.inline(gone))
+
+
 def violations(checked: DataFrame, keep: tuple[str, ...] = ("tx_id",)) -> DataFrame:
     """The first violation of each transaction by order of its values."""
     bad = checked.filter("violation IS NOT NULL")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,3 +32,25 @@ def ship_package(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a small input has fewer splits than these (one file of one row group, say); large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, deleted when the application ends: below spark.checkpoint.dir, or on a local master without it, a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not top:
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its executors share")
+        top = tempfile.mkdtemp(prefix="tidegate-")
+    path = f"{top.rstrip('/')}/tidegate-run/{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path

@@ -110,8 +110,8 @@ def entries(line: bool = False, strict_parity: bool = False) -> Column:
     return F.concat(*parts)
 
 
-def explode_values(tx: DataFrame, keep: tuple[str, ...] = ("tx_id",), line: bool = False, strict_parity: bool = False, bodies: bool = True) -> DataFrame:
-    """Values of transactions: keep..., value_seq, arrived, target, key, data, inert, and the request path. Body values come after the header values; a decoder runs only for transactions with a body."""
+def with_values(tx: DataFrame, keep: tuple[str, ...] = ("tx_id",), line: bool = False, strict_parity: bool = False, bodies: bool = True) -> DataFrame:
+    """keep..., path, and ``entries``: the values of a transaction as one array, body values after the header values. A decoder runs only for transactions with a body."""
     from tidegate.sources.bodies import body_entries
 
     base = tx.withColumn("__path", path_of(F.col("target")))
@@ -121,7 +121,12 @@ def explode_values(tx: DataFrame, keep: tuple[str, ...] = ("tx_id",), line: bool
         base = base.withColumn("__body", body_entries(some, _header("content-type"), _header("content-encoding"), _header("grpc-encoding"), F.lit(not strict_parity)))
         seen = F.coalesce(F.col("__body.entries"), _empty())
         all_ = F.concat(F.filter(all_, lambda e: e["arrived"] <= 2), seen, F.filter(all_, lambda e: e["arrived"] > 2))
-    rows = base.select(*keep, F.col("__path").alias("path"), F.posexplode(all_).alias("value_seq", "__v"))
+    return base.select(*keep, F.col("__path").alias("path"), all_.alias("entries"))
+
+
+def explode_values(tx: DataFrame, keep: tuple[str, ...] = ("tx_id",), line: bool = False, strict_parity: bool = False, bodies: bool = True) -> DataFrame:
+    """Values of transactions: keep..., path (of the request), value_seq, arrived, target, key, data, inert. Columns that ``keep`` names beside the key go along with every value."""
+    rows = with_values(tx, keep, line, strict_parity, bodies).select(*keep, "path", F.posexplode("entries").alias("value_seq", "__v"))
     return rows.select(*keep, "path", "value_seq", "__v.*", F.lit(False).alias("inert"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions.text import to_bytes
-from tidegate.session import ship_package, table
+from tidegate.session import ship_package, spread, table
 from tidegate.sources import transactions as tx
 
 QUERIES: dict = {}
@@ -32,19 +32,19 @@ def query(sql: str | None = None):
 
 def document_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents.text as argument q: (tx_id, value_seq, arrived, target, key, data, inert)."""
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).filter("text IS NOT NULL")
     return d.select(F.col("doc_id").alias("tx_id"), F.lit(0).alias("value_seq"), F.lit(1).alias("arrived"), F.lit("ARGS").alias("target"), F.lit("q").alias("key"), to_bytes(F.col("text")).alias("data"), F.lit(False).alias("inert"))
 
 
 def page_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as GET requests with their html as response."""
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"))
     return tx.transactions(p.select(F.col("page_id").alias("tx_id"), to_bytes(tx.url_target(F.col("url"))).alias("target"), F.lit(200).alias("response_status"), F.encode("html", "UTF-8").alias("response_body")))
 
 
 def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as POST requests whose JSON body is props."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     head = F.array(F.struct(F.lit("Content-Type").alias("name"), F.lit("application/json").alias("value")))
     return tx.transactions(e.select(F.col("event_id").alias("tx_id"), "ts", F.lit("POST").alias("method"), F.lit("/events").alias("target"), head.alias("headers"), F.encode("props", "UTF-8").alias("body")))
 

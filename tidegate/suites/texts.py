@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import readings as rd
 from tidegate.functions import text as tf
-from tidegate.functions.detectors import NOSQL_CLASSES, NOSQL_WEIGHTS, PROMPT_BEFORE, PROMPT_DELIMITERS, PROMPT_PHRASES, PROMPT_WEIGHTS, detect
+from tidegate.functions.detectors import PROMPT_BEFORE, PROMPT_DELIMITERS, PROMPT_PHRASES, PROMPT_WEIGHTS, detect
 from tidegate.operators.predicates import named_predicate, regex, test_of
 from tidegate.plans.model import Op
-from tidegate.session import table
+from tidegate.session import spread, table
 from tidegate.sources import transactions as tx
 from tidegate.suites.common import LOW, URLS, query
 
 
 def docs(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).filter("text IS NOT NULL")
 
 
 @query(f"SELECT doc_id, md5({LOW}) AS h FROM documents WHERE text IS NOT NULL")
@@ -138,9 +138,9 @@ def _at(needle: str) -> str:
     return f"strlen(substr({LOW}, 1, strpos({LOW}, '{needle}') - 1))::INT"
 
 
-@query(f"SELECT doc_id, {_at('password')} AS off, 8 AS len FROM documents WHERE contains({LOW}, 'password')")
+@query(f"SELECT doc_id, {_at('token')} AS off, 5 AS len FROM documents WHERE contains({LOW}, 'token')")
 def op_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _op(spark, sf_dir, Op("contains", ("Password",)))
+    return _op(spark, sf_dir, Op("contains", ("Token",)))
 
 
 @query(f"SELECT doc_id, CASE WHEN contains({LOW}, 'akia') THEN {_at('akia')} WHEN contains({LOW}, 'token') THEN {_at('token')} ELSE {_at('license')} END AS off, CASE WHEN contains({LOW}, 'akia') THEN 4 WHEN contains({LOW}, 'token') THEN 5 ELSE 7 END AS len FROM documents WHERE contains({LOW}, 'akia') OR contains({LOW}, 'token') OR contains({LOW}, 'license')")
@@ -227,19 +227,10 @@ def det_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", detect("prompt_injection")(tf.to_bytes(F.col("text")))["score"].alias("score"))
 
 
-def nosql_score(c):
-    """The score of a name's operator tokens as an expression."""
-    tokens = F.filter(F.regexp_extract_all(F.substring(c, 1, 1024), F.lit(r"(\$\$?[A-Za-z]*)"), F.lit(1)), lambda t: F.length(t) <= 24)
-    score = F.lit(0)
-    for k, names in NOSQL_CLASSES.items():
-        score = score + F.when(F.arrays_overlap(tokens, F.array(*[F.lit(n) for n in sorted(names)])), NOSQL_WEIGHTS[k]).otherwise(0)
-    return score
-
-
 @query("SELECT event_id, (CASE WHEN event_id % 3 = 0 THEN 5 WHEN event_id % 3 = 1 THEN 8 ELSE 0 END)::INT AS score FROM events")
 def det_nosqli(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("event_id") % 3 == 0, "user[$ne]").when(F.col("event_id") % 3 == 1, F.lit("a[$where][$set]")).otherwise("$filter[$schema]")
-    return table(spark, sf_dir, "events").select("event_id", nosql_score(name).cast("int").alias("score"))
+    return table(spark, sf_dir, "events").select("event_id", detect("nosqli")(name)["score"].alias("score"))
 
 
 @query("SELECT event_id, (CASE WHEN event_id % 2 = 0 THEN 6 ELSE 0 END)::INT AS score FROM events")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from tidegate.operators.match import literal_hits, match
 from tidegate.operators.predicates import gate
 from tidegate.plans import api_import, core_rules, model, seclang
 from tidegate.plans.model import Action, Op, Rule, Target
-from tidegate.session import table
+from tidegate.session import scratch_folder, spread, table
 from tidegate.sources import bodies, transactions as tx
 from tidegate.suites.common import LOW, URLS, document_values, event_transactions, page_transactions, query
 
@@ -57,10 +60,31 @@ def limit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.gates(tx.transactions(d)).select("tx_id", "reason")
 
 
-@query(r"SELECT page_id, len(regexp_extract_all(html, '[ -~]{8,}')) AS runs, strlen(list_last(regexp_extract_all(html, '[ -~]{8,}')))::INT AS last FROM pages")
+@query(r"""SELECT page_id, least(len(r), 256)::BIGINT AS runs, strlen(r[least(len(r), 256)])::INT AS last FROM (SELECT page_id, regexp_extract_all(html, '[ -~]{8,}') AS r FROM pages) WHERE len(r) > 0""")
 def printable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = F.regexp_extract_all(to_bytes(F.col("html")), F.lit("[ -~]{8,}"), F.lit(0))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(runs).cast("bigint").alias("runs"), F.length(F.try_element_at(runs, F.lit(-1))).alias("last"))
+    """Pages behind a NUL byte are binary bodies, of which the printable runs are kept (up to the format's limit of 256)."""
+    body = F.concat(F.unhex(F.lit("00")), F.encode("html", "UTF-8"))
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    b = p.select("page_id", bodies.body_entries(body, F.lit("application/octet-stream"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(True)).alias("b"))
+    runs = F.filter("b.entries", lambda e: e["target"] == "REQUEST_BODY")
+    return b.select("page_id", F.size(runs).cast("bigint").alias("runs"), F.length(F.try_element_at(runs, F.lit(-1))["data"]).alias("last")).filter("runs > 0")
+
+
+@query(r"""SELECT page_id AS tx_id, target, key, data FROM (SELECT page_id, 'REMOTE_ADDR' AS target, '' AS key, '198.51.100.' || page_id % 256 AS data FROM pages UNION ALL SELECT page_id, 'REQUEST_HEADERS', 'Referer', url FROM pages UNION ALL SELECT page_id, 'REQUEST_HEADER_NAMES', '', 'Referer' FROM pages UNION ALL SELECT page_id, 'RESPONSE_STATUS', '', (200 + page_id % 3)::VARCHAR FROM pages UNION ALL SELECT page_id, 'RESPONSE_HEADERS', 'Content-Location', url FROM pages UNION ALL SELECT page_id, 'RESPONSE_HEADER_NAMES', '', 'Content-Location' FROM pages)""")
+def explode_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers, remote address, status and response headers come back as values."""
+    one = lambda n: F.array(F.struct(F.lit(n).alias("name"), F.col("url").alias("value")))
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("tx_id"), F.concat(F.lit("198.51.100."), F.col("page_id") % 256).alias("remote_addr"), one("Referer").alias("headers"), (200 + F.col("page_id") % 3).cast("int").alias("response_status"), one("Content-Location").alias("response_headers"))
+    v = tx.explode_values(tx.transactions(p), bodies=False)
+    return v.filter(F.col("target").isin("REMOTE_ADDR", "REQUEST_HEADERS", "REQUEST_HEADER_NAMES", "RESPONSE_STATUS", "RESPONSE_HEADERS", "RESPONSE_HEADER_NAMES")).select("tx_id", "target", "key", "data")
+
+
+@query("SELECT event_id AS tx_id, target, key, data FROM (SELECT event_id, 'ARGS' AS target, 'u.id' AS key, user_id::VARCHAR AS data FROM events UNION ALL SELECT event_id, 'ARGS', 'u.tags[0]', event_type FROM events UNION ALL SELECT event_id, 'ARGS', 'u.tags[1].n', json_extract_string(props, '$.k') FROM events)")
+def json_flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested object with a list: paths of keys and indexes."""
+    body = F.concat(F.lit('{"u":{"id":'), F.col("user_id"), F.lit(',"tags":["'), F.col("event_type"), F.lit('",{"n":'), F.get_json_object("props", "$.k"), F.lit("}]}}"))
+    found = _bodies(spark, sf_dir, F.encode(body, "UTF-8"), "application/json")
+    return found.filter("target = 'ARGS'").select(F.col("event_id").alias("tx_id"), "target", "key", "data")
 
 
 @query("SELECT event_id AS tx_id, 'ARGS' AS target, 'k' AS key, json_extract_string(props, '$.k') AS data FROM events UNION ALL SELECT event_id, 'ARGS_NAMES', '', 'k' FROM events")
@@ -71,7 +95,7 @@ def json_flatten_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bodies(spark, sf_dir, body, kind: str, coding=None) -> DataFrame:
     """Entries of one body for each event."""
-    e = table(spark, sf_dir, "events").select("event_id", bodies.body_entries(body, F.lit(kind), F.lit(coding).cast("string"), F.lit(None).cast("string"), F.lit(True)).alias("b"))
+    e = spread(table(spark, sf_dir, "events")).select("event_id", bodies.body_entries(body, F.lit(kind), F.lit(coding).cast("string"), F.lit(None).cast("string"), F.lit(True)).alias("b"))
     return e.select("event_id", F.inline("b.entries"))
 
 
@@ -112,14 +136,17 @@ def protobuf_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bodies(spark, sf_dir, F.unhex(frame), "application/grpc").filter("key = '1.2'").select("event_id", "key", "data")
 
 
-@query("SELECT key, data, 1000 AS n FROM (VALUES ('user', 'x'), ('q[0]', '1')) t(key, data)")
+@query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS data FROM events")
 def gzip_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A gzip body of a thousand requests."""
+    """The events' bodies, packed by gzip."""
     import gzip
 
-    body = F.unhex(F.lit(gzip.compress(b'{"user":"x","q":[1]}', mtime=0).hex()))
-    e = spark.range(1000).select(bodies.body_entries(body, F.lit("application/json"), F.lit("gzip"), F.lit(None).cast("string"), F.lit(True)).alias("b"))
-    return e.select(F.inline("b.entries")).filter("target = 'ARGS'").groupBy("key", "data").agg(F.count("*").cast("int").alias("n"))
+    @F.arrow_udf("binary")
+    def packed(body: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else gzip.compress(b, mtime=0) for b in body.to_pylist()], pa.binary())
+
+    found = _bodies(spark, sf_dir, packed(F.encode("props", "UTF-8")), "application/json", "gzip")
+    return found.filter("target = 'ARGS'").select("event_id", "key", "data")
 
 
 # ---------------------------------------------------------------- rules
@@ -160,16 +187,34 @@ def core_rules_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(document_values(spark, sf_dir), plan).groupBy("rule_id").agg(F.count("*").alias("hits"), F.countDistinct("tx_id").alias("requests"))
 
 
+def _posted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of requests that post a page's html as an argument, and get the page."""
+    p = spread(table(spark, sf_dir, "pages")).filter("html IS NOT NULL")
+    named = F.array(F.struct(F.lit("html").alias("name"), to_bytes(F.col("html")).alias("value")))
+    t = tx.transactions(p.select(F.col("page_id").alias("tx_id"), to_bytes(tx.url_target(F.col("url"))).alias("target"), named.alias("args"), F.lit(200).alias("response_status"), F.encode("html", "UTF-8").alias("response_body")))
+    return tx.explode_values(t, bodies=False)
+
+
+@query("SELECT rule_id, count(*) AS requests FROM pages, (VALUES (1003::BIGINT), (1006)) t(rule_id) WHERE html IS NOT NULL AND page_id % 2 = rule_id % 2 GROUP BY rule_id")
+def core_rules_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All core rules on the pages' hosts as paths: odd ones ask for a system file, even ones for a repository."""
+    p = spread(table(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", "url"))
+    where = F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("/en/"), F.col("page_id"), F.lit("?f=/etc/passwd"))).otherwise(F.concat(F.lit("/en/"), F.col("page_id"), F.lit("/.git/HEAD")))
+    t = tx.transactions(p.select(F.col("page_id").alias("tx_id"), where.alias("target")))
+    hits = match(tx.explode_values(t, bodies=False), model.compile_rules(core_rules.default_rules()))
+    return hits.groupBy("rule_id").agg(F.countDistinct("tx_id").alias("requests"))
+
+
 @query()
 def core_rules_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = model.compile_rules(core_rules.default_rules())
-    return match(tx.explode_values(page_transactions(spark, sf_dir), bodies=False), plan).groupBy("rule_id").agg(F.count("*").alias("hits"))
+    return match(_posted_pages(spark, sf_dir), plan).groupBy("rule_id").agg(F.count("*").alias("hits"), F.countDistinct("tx_id").alias("requests"))
 
 
 @query("SELECT 'block' AS verdict, 'rule' AS reason, count(*) AS n FROM events WHERE event_id % 4 = 0 UNION ALL SELECT 'allow', 'no_match', count(*) FROM events WHERE event_id % 4 <> 0")
 def core_rules_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of which every fourth carries an attack, through the core rules to decisions for all."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id"))
     attack = F.get(F.array(*[F.lit(x) for x in ("/?q=%3Cscript%3Ealert(1)%3C/script%3E", "/?q=1%27%20or%20%271%27=%271", "/..%252f..%252fetc/passwd", "/?u[$ne]=1", "/?x=;cat%20/etc/passwd", "/.git/config")]), (F.col("event_id") / 4 % 6).cast("int"))
     t = tx.transactions(e.select(F.col("event_id").alias("tx_id"), F.when(F.col("event_id") % 4 == 0, attack).otherwise(F.concat(F.lit("/items?id="), F.col("event_id"))).alias("target")))
     hits = match(tx.explode_values(t, bodies=False), model.compile_rules(core_rules.default_rules()))
@@ -256,10 +301,28 @@ def fuel_running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuel.spent(c, ("doc_id",), ("turn",), limit=2000).select("doc_id", "turn", "fuel_spent", "exhausted")
 
 
+_TOLD = 1500
+_FUEL = f"""c AS (SELECT conv_id, turn, {LOW} AS low, strlen({LOW}) AS n, text <> {LOW} AS changed FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)),
+k AS (SELECT *, contains(low, 'einheit') AS hit, n + n + CASE WHEN changed THEN 2 * n ELSE 0 END + CASE WHEN contains(low, 'einheit') THEN 12 ELSE 0 END AS cost FROM c),
+m AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn) > {_TOLD} AS exhausted FROM k)"""
+
+
+@query(f"WITH {_FUEL} SELECT conv_id AS tx_id, CASE WHEN bool_or(hit AND NOT exhausted) THEN 'rule' WHEN bool_or(exhausted) THEN 'budget_exhausted' ELSE 'no_match' END AS reason, CASE WHEN bool_or(hit AND NOT exhausted) OR bool_or(exhausted) THEN 'block' ELSE 'allow' END AS verdict FROM m GROUP BY conv_id")
+def fuel_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transactions whose turns are values: work is metered, and what comes after the fuel ran out decides nothing."""
+    c = spread(table(spark, sf_dir, "conversations"))
+    v = c.select(F.col("conv_id").alias("tx_id"), F.col("turn").alias("value_seq"), F.lit(1).alias("arrived"), F.lit("ARGS").alias("target"), F.lit("q").alias("key"), to_bytes(F.coalesce("text", F.lit(""))).alias("data"), F.lit(False).alias("inert"))
+    plan = model.compile_rules([Rule(1, 1, (Target("ARGS"),), Op("contains", ("einheit",)), ("lowercase",), (Action("block"),), "critical")])
+    used = fuel.spent(fuel.metered(v, plan, fork=False), order=("value_seq", "reading_ord"), limit=_TOLD)
+    found = fuel.within(match(v, plan, fork=False), used)
+    d = decide.all_decisions(c.select(F.col("conv_id").alias("tx_id")).distinct(), decide.decide(found), fuel.gates(used))
+    return d.select("tx_id", "reason", "verdict")
+
+
 @query()
 def explain_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = model.compile_rules(core_rules.default_rules())
-    hits = match(tx.explode_values(page_transactions(spark, sf_dir), bodies=False), plan)
+    hits = match(_posted_pages(spark, sf_dir), plan)
     return decide.explain(hits, model.rules_frame(spark, plan.rules)).select("tx_id", "rule_id", "msg", "chain", "operator", "matched", "off", "len", "severity_name", "confidence_name", "interpretation")
 
 
@@ -299,7 +362,7 @@ _OPS = [
 
 def _api(spark, sf_dir) -> DataFrame:
     """Requests to the API of _OPS, one for each order."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     k = F.col("o_orderkey")
     target = F.when(k % 4 == 0, F.concat(F.lit("/orders/"), k, F.lit("?n="), F.col("o_custkey"))).when(k % 4 == 1, F.lit("/health")).when(k % 4 == 2, F.lit("/static/a/b.css?x=1")).otherwise(F.lit("/orders/1?c=z&zz=1"))
     return tx.transactions(o.select(k.alias("tx_id"), target.alias("target"))).withColumn("path", tx.path_of(F.col("target")))
@@ -318,21 +381,21 @@ def undeclared_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS tx_id, 'n' AS name FROM orders WHERE o_orderkey % 4 = 3")
 def missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, f = _api(spark, sf_dir), schema.fields_frame(spark, _OPS)
-    return schema.missing_required(tx.explode_values(t, bodies=False), schema.routes(t, _OPS), f).select("tx_id", "name")
+    t = schema.routed_rows(_api(spark, sf_dir), _OPS)
+    return schema.missing_in_rows(tx.with_values(t, ("tx_id", "op_ord"), bodies=False), _OPS).select("tx_id", "name")
 
 
 @query("SELECT o_orderkey AS tx_id, CASE WHEN o_orderkey % 4 = 3 THEN 'c' ELSE 'n' END AS key, CASE WHEN o_orderkey % 4 = 3 THEN 'not_in_enum' ELSE 'out_of_range' END AS violation FROM orders WHERE o_orderkey % 4 = 3 OR (o_orderkey % 4 = 0 AND o_custkey > 500)")
 def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, f = _api(spark, sf_dir), schema.fields_frame(spark, _OPS)
-    checked = schema.validated(tx.explode_values(t, bodies=False), schema.routes(t, _OPS), f)
+    t, f = schema.routed_rows(_api(spark, sf_dir), _OPS), schema.fields_frame(spark, _OPS)
+    checked = schema.validated(tx.explode_values(t, ("tx_id", "op_ord"), bodies=False), None, f)
     return schema.violations(checked).select("tx_id", "key", "violation")
 
 
 @query("SELECT count(*) AS inert FROM orders WHERE o_orderkey % 4 = 0 AND o_custkey <= 500")
 def inert_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, f = _api(spark, sf_dir), schema.fields_frame(spark, _OPS)
-    checked = schema.validated(tx.explode_values(t, bodies=False), schema.routes(t, _OPS), f)
+    t, f = schema.routed_rows(_api(spark, sf_dir), _OPS), schema.fields_frame(spark, _OPS)
+    checked = schema.validated(tx.explode_values(t, ("tx_id", "op_ord"), bodies=False), None, f)
     return checked.filter("inert").agg(F.count("*").alias("inert"))
 
 
@@ -439,10 +502,10 @@ def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.relevant(analytics.audit_records(d)).select("tx_id", "rule_id", "verdict", "status", F.col("suggested_exception.key").alias("except_key"))
 
 
-@query(f"WITH {HITS} SELECT tx_id, rule_id FROM (SELECT doc_id AS tx_id, min(rule_id) AS rule_id FROM hits GROUP BY doc_id) WHERE rule_id IN (1, 2, 3)")
+@query(f"WITH {HITS} SELECT tx_id, rule_id FROM (SELECT doc_id AS tx_id, min(rule_id) AS rule_id FROM hits GROUP BY doc_id) WHERE rule_id IN (1, 2, 3, 5)")
 def severity_filter_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decide.decide(match(document_values(spark, sf_dir), _literal_plan(), fork=False))
-    return analytics.severity_at_least(analytics.audit_records(d), "error").select("tx_id", "rule_id")
+    return analytics.severity_at_least(analytics.audit_records(d), "warning").select("tx_id", "rule_id")
 
 
 @query("SELECT mode, outcome, count(*) AS n FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'detection' ELSE 'rule_id' END AS mode, CASE WHEN event_id % 11 = 0 THEN 'skip' WHEN event_id % 2 = 0 THEN CASE WHEN (event_id % 3 = 0) = (event_id % 5 = 0) THEN 'pass' ELSE 'fail' END ELSE CASE WHEN event_id % 3 = 0 AND event_id % 7 <> 0 THEN 'pass' ELSE 'fail' END END AS outcome FROM events) GROUP BY ALL")
@@ -516,10 +579,10 @@ def seclang_rules_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(v, plan, fork=False).select("tx_id", "rule_id").distinct()
 
 
-@query(f"SELECT doc_id AS tx_id FROM documents WHERE contains({LOW}, 'password')")
+@query(f"SELECT doc_id AS tx_id FROM documents WHERE contains({LOW}, 'license')")
 def literal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = document_values(spark, sf_dir)
-    return v.filter(gate(("Password",), lowercase(F.col("data")))).select("tx_id")
+    return v.filter(gate(("License",), lowercase(F.col("data")))).select("tx_id")
 
 
 # ---------------------------------------------------------------- streams
@@ -534,20 +597,37 @@ def stream_stateless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(match(v, _literal_plan(), fork=False).select("tx_id", "rule_id"), "stream_stateless_out")
 
 
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as the chunks of a body; every odd user's have gaps."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").withColumns({"rn": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("user_id"))})
+    return e.filter("n > 1").select(F.col("user_id").alias("tx_id"), (F.col("rn") * F.when(F.col("user_id") % 2 == 0, 1).otherwise(2)).cast("int").alias("seq"), (F.col("rn") == F.col("n") - 1).alias("last"), F.encode("props", "UTF-8").alias("data"), F.timestamp_seconds(F.lit(86_400) + F.col("rn")).alias("ts"))
+
+
 @query("SELECT user_id AS tx_id, status, count(*) AS n FROM (SELECT user_id, CASE WHEN count(*) = max(seq) + 1 THEN 'ok' ELSE 'unfinished' END AS status FROM (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) * CASE WHEN user_id % 2 = 0 THEN 1 ELSE 2 END AS seq FROM events) GROUP BY user_id HAVING count(*) > 1) GROUP BY ALL")
 def stream_chunk_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of each user's events as chunks; every odd user's have gaps."""
-    from pyspark.sql import Window
-
     from tidegate.streaming.streams import assembled
 
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").withColumns({"rn": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("user_id"))})
-    chunks = e.filter("n > 1").select(F.col("user_id").alias("tx_id"), (F.col("rn") * F.when(F.col("user_id") % 2 == 0, 1).otherwise(2)).cast("int").alias("seq"), (F.col("rn") == F.col("n") - 1).alias("last"), F.encode("props", "UTF-8").alias("data"), F.timestamp_seconds(F.lit(0) + F.col("rn")).alias("ts"))
+    chunks = _chunks(spark, sf_dir)
     out = assembled(chunks, timeout="1 hour")
     return out.groupBy("tx_id", "status").agg(F.count("*").alias("n"))
 
 
+@query("SELECT user_id AS tx_id, CASE WHEN user_id % 2 = 0 THEN 'ok' ELSE 'unfinished' END AS status, sum(strlen(props))::BIGINT AS bytes FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE n > 1 GROUP BY user_id")
+def stream_chunks_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks, shuffled into files and read as a stream with state; a chunk far in the future moves the watermark past all timeouts."""
+    from tidegate.streaming.streams import CHUNK, assembled, run_to_end
+
+    path = f"{scratch_folder(spark)}/chunks"
+    _chunks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).repartition(8).write.parquet(path)
+    spark.createDataFrame([(-1, 0, True, bytearray(b""), datetime.datetime(2100, 1, 1))], CHUNK).coalesce(1).write.mode("append").parquet(path)
+    out = run_to_end(assembled(spark.readStream.schema(CHUNK).parquet(path), timeout="1 hour"), "stream_chunks_out")
+    return out.filter("tx_id >= 0").select("tx_id", "status", F.octet_length("body").cast("bigint").alias("bytes"))
+
+
 @query(f"WITH {_DECISIONS} SELECT time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS requests, count(*) FILTER (m < 3) AS blocked FROM d GROUP BY 1")
 def stream_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry of events read as a stream, in windows of a day."""
