@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import bpe
-from tidegate.llm._common import shared_dir
+from tidegate.llm._common import scratch_path, shared_dir
 
 DELTA = "source string, lang string, tokenizer string, d_docs bigint, d_tokens bigint, d_chars bigint"
 KEYS = ["source", "lang", "tokenizer"]
@@ -33,7 +33,7 @@ def counted(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
         n = bpe.count(F.col("text"), spec) if spec else F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0))
         versions.append(F.struct(F.lit(name).alias("tokenizer"), n.cast("bigint").alias("tokens")))
     sized = base.select("source", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("chars"), F.array(*versions).alias("v"))
-    return sized.select("source", "lang", "chars", F.inline("v"))
+    return sized.select("source", "lang", "chars", F.inline_outer("v"))  # for inline the optimiser adds a filter that counts once more
 
 
 def inserts(rows: DataFrame) -> DataFrame:
@@ -88,10 +88,9 @@ class Rollup:
 
 
 def count_tokens(docs: DataFrame, tokenizers: dict[str, str], batch: str = "all", path: str | None = None) -> DataFrame:
-    """Commit documents as one batch of inserts and return the totals."""
-    import uuid
-
+    """Commit documents as one batch of inserts and return the totals. Without a path the roll-up goes when the application ends."""
     spark = docs.sparkSession
-    store = Rollup(spark, path or f"{shared_dir(spark).rstrip('/')}/tidegate/rollup-{uuid.uuid4().hex}")
+    shared_dir(spark)
+    store = Rollup(spark, path or scratch_path(spark))
     store.commit(batch, inserts(counted(docs, tokenizers)))
     return store.totals()
