@@ -16,11 +16,14 @@ from tidegate.session import ship_package, table  # noqa: F401
 BROADCAST_BYTES, BROADCAST_ROWS = 64_000_000, 500_000
 
 #: Rows of an Arrow batch, at most: batches of texts are held by the executor and by its Python workers at once.
-ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 #: Tables that ``materialize`` wrote and nothing has deleted yet.
 _WRITTEN: list[str] = []
 
+#: The temporary folder of a local application that names no shared one; the setting itself cannot be changed in a session.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: what the session names. A session without one gets a temporary folder, on a local master only."""
@@ -34,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its executors share")
         import tempfile
 
-        path = tempfile.mkdtemp(prefix="tidegate-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidegate-")
+        _LOCAL[spark.sparkContext.applicationId] = path
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
