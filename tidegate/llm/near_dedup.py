@@ -10,10 +10,12 @@ The registers are cut into bands. What decides is the similarity of the plain se
 shingles has bands of registers at equal weights beside the weighted ones (without repeats both are the same): a heavily
 repeated line parts two texts in the weighted bands only. Copies (texts of equal content) are one vertex. The vertices of a band bucket gather
 around its least one; the groups of all leaders hold every two vertices that share a bucket. Within a group the exact
-Jaccard similarity of every two sets of shingles is computed, at 0.8 or more a link: a group beyond BLOCK shingles is
-cut into blocks, and each two blocks are one task's matrix product, so no task holds more than two blocks, and of the
-links only a spanning forest of each two blocks is emitted, not all pairs. Contracting the links gives the classes; no
-link between vertices that share a bucket is left out, and there is no cap on groups.
+Jaccard similarity of two sets of shingles decides, at 0.8 or more a link. First every member meets its leader alone,
+which settles a group of near copies at a cost linear in its members. Then what those links do not yet join is compared,
+but for pairs that cannot be linked by the triangle inequality of the Jaccard distance: a group beyond BLOCK shingles
+or VERTICES vertices is cut into blocks, and each two blocks are one task's matrix product, so no task holds more than
+two blocks, and of the links only a spanning forest of each two blocks is emitted, not all pairs. Contracting the links
+gives the classes; no link between vertices that share a bucket is left out, and there is no cap on groups.
 
 Vertices are texts, whatever their ids: a class is that of its texts, and the ids only name it. The name of a class is
 its least id, so classes of equal least ids (or of null ids alone) have the same name; ``classes`` tells them apart by
@@ -27,6 +29,7 @@ others as names of classes; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +44,10 @@ BANDS, ROWS = 32, 4
 M = BANDS * ROWS
 #: Stands for a null id, after all others.
 LAST = 2**63 - 1
-#: Bytes of text handled at once; shingles of a block of a large group, and cells of a matrix; about how many letters a word has.
-SLICE, BLOCK, CELLS, LETTERS = 4_000_000, 400_000, 8_000_000, 5
+#: Characters and texts handled at once; shingles and vertices of a block of a large group, and cells of a matrix; about how many letters a word has.
+SLICE, TEXTS, BLOCK, VERTICES, CELLS, LETTERS = 1 << 19, 1000, 400_000, 1000, 4_000_000, 5
+#: Slack of comparisons of similarities, above what rounding can make.
+SLACK = 2e-3
 U = np.uint64
 #: An odd base, and its inverse, for polynomial hashes modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -60,30 +65,51 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    name = hex(base)
-    if name not in _POWERS or len(_POWERS[name]) < n:
-        out = np.full(max(n, 1 << 16), base, np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64; those of a slice are kept for the next call."""
+    name, size = hex(base), max(n, SLICE)
+    out = _POWERS.get(name)
+    if out is None or len(out) < n:
+        out = np.full(size, base, np.uint64)
         out[0] = 1
-        _POWERS[name] = np.multiply.accumulate(out)
-    return _POWERS[name][:n]
+        np.multiply.accumulate(out, out=out)
+        if size == SLICE:
+            _POWERS[name] = out
+    return out[:n]
+
+
+WHITE = re.compile(rb"[\t-\r ]")
+
+
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the place of every word: what ASCII white space parts. A long text goes through in slices that end at white space."""
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(raw):
+        stop = len(raw)
+        if stop - at > SLICE:
+            found = WHITE.search(raw, at + SLICE)
+            stop = found.start() if found else stop
+        b = np.frombuffer(raw, np.uint8, stop - at, at)
+        space = (b == 32) | ((b >= 9) & (b <= 13))
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
+        start, end = edge[0::2], edge[1::2]
+        if len(start):
+            sums = np.zeros(len(b) + 1, np.uint64)
+            np.add(b, 1, out=sums[1:], dtype=np.uint64)
+            sums[1:] *= powers(BASE, len(b))
+            np.cumsum(sums, out=sums)
+            hashes.append(mix((sums[end] - sums[start]) * powers(INVERSE, len(b))[start] + (end - start).astype(np.uint64)))
+            starts.append(start + at)
+        at = stop
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts with the text of each and its count. Words are what white space separates, in lower case."""
-    raw = "\n\n".join((t or "").lower() for t in texts).encode()
-    if not raw:
+    parts = [(t or "").lower().encode() for t in texts]
+    word, start = words_of(b"\n\n".join(parts))
+    if not len(word):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    b = np.frombuffer(raw, np.uint8)
-    space = (b == 32) | ((b >= 9) & (b <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sums = np.concatenate(([U(0)], np.cumsum((b.astype(np.uint64) + U(1)) * powers(BASE, len(b)), dtype=np.uint64)))
-    word = mix((sums[end] - sums[start]) * powers(INVERSE, len(b))[start] + U(1) * (end - start).astype(np.uint64))
-    limits = np.cumsum([len((t or "").lower().encode()) + 2 for t in texts])
-    of = np.searchsorted(limits, start, "right")
+    of = np.searchsorted(np.cumsum([len(p) + 2 for p in parts]), start, "right")
     n = np.bincount(of, minlength=len(texts))
     first = np.cumsum(n) - n
     # runs of five words; a shorter text is one run
@@ -151,7 +177,7 @@ def _runs(batch: pa.Array) -> Iterator[list[str | None]]:
     for t in batch.to_pylist():
         part.append(t)
         size += len(t or "")
-        if size > SLICE:
+        if size > SLICE or len(part) >= TEXTS:
             yield part
             part, size = [], 0
     if part:
@@ -215,15 +241,17 @@ def spanning_links(v: np.ndarray, sets: list[np.ndarray], threshold: float) -> l
         m = np.zeros((len(sets), min(step, width - lo)), np.float32)
         m[row[a:b], col[a:b] - lo] = 1
         common += m @ m.T
-    linked = common >= np.float32(threshold) * (n[:, None] + n[None, :] - common) - np.float32(1e-3)
-    out, todo = [], set(range(len(sets)))
-    while todo:  # breadth first, row by row
-        seeds = [todo.pop()]
-        while seeds and todo:
+    out, todo, size = [], np.ones(len(sets), bool), n.astype(np.float64)
+    for first in range(len(sets)):
+        if not todo[first]:
+            continue
+        todo[first] = False
+        seeds = [first]
+        while seeds:  # row by row: no second matrix of all pairs
             i = seeds.pop()
-            near = [j for j in np.flatnonzero(linked[i]).tolist() if j in todo]
-            todo.difference_update(near)
-            seeds += near
+            near = np.flatnonzero(todo & (common[i] >= threshold * (size[i] + size - common[i]) - 1e-3))
+            todo[near] = False
+            seeds += near.tolist()
             out += [(int(v[i]), int(v[j])) for j in near]
     return out
 
@@ -259,12 +287,55 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def led(sets: DataFrame) -> DataFrame:
+    """(x, v, common, n, m) of every member but the leader itself: shingles that it shares with the leader, and how many each has. ``sets`` has (v, s, xs), xs the leaders of v."""
+    leader = sets.filter(F.array_contains("xs", F.col("v"))).select(F.col("v").alias("x"), F.col("s").alias("l"))
+    members = sets.select("v", "s", F.explode(F.array_remove("xs", F.col("v"))).alias("x"))
+    return members.join(leader, "x").select("x", "v", F.size(F.array_intersect("s", "l")).alias("common"), F.size("s").alias("n"), F.size("l").alias("m"))
+
+
+def sets_of(vertices: DataFrame, texts: DataFrame) -> DataFrame:
+    """(v, s, xs) of vertices (v, r, a, b, same, xs): their shingles, from the text of their id and address. Rows that are equal in both (``same`` counts them) are taken once."""
+    found = texts.join(broadcast_if_small(vertices), ["r", "a", "b"])
+    once = found.filter("same = 1").select("v", "xs", "t")
+    if vertices.filter("same > 1").limit(1).count():
+        once = once.unionByName(found.filter("same > 1").groupBy("v").agg(F.first("xs").alias("xs"), F.first("t").alias("t")))
+    return once.select("v", shingle_set(F.col("t")).alias("s"), "xs")
+
+
+def open_groups(member: DataFrame, near: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(x, v, size) of what is still to be compared within groups: pairs of different labels, but for pairs that their distances to the leader part.
+
+    Jaccard distance is a metric, so a pair can be linked only if its distances to the leader differ by at most 1 -
+    threshold. Members of the leader's label that are nearer to it than that from all of the others thus drop out."""
+    label = member.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    rows = label.join(near.select("x", "v", "d"), ["x", "v"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    rows = materialize(rows)
+    own = rows.filter("x = v").select("x", F.col("label").alias("own"))
+    groups = rows.join(own, "x").filter("label <> own").groupBy("x", "own").agg(F.min("d").alias("least"))
+    rows = materialize(rows.join(groups, "x").filter((F.col("label") != F.col("own")) | (F.col("d") >= F.col("least") - (1 - threshold) - SLACK)))
+    left = rows.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("x")
+    return materialize(rows.join(left, "x").select("x", "v", "size"))
+
+
 def link_classes(vertices: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(v, label) for vertices (v, r, a, b, keys, size) that have a link to another. ``texts`` has (r, a, b, t); the text of a vertex is that of its id and address."""
+    """(v, label) for vertices (v, r, a, b, same, keys, size) that have a link to another. ``texts`` has (r, a, b, t); the text of a vertex is that of its id and address."""
     rows = vertices.select("v", F.explode("keys").alias("k"))
     lead = rows.groupBy("k").agg(F.min("v").alias("x"), F.count("*").alias("n")).filter("n > 1").select("k", "x")
+    # a vertex has few leaders, at most one for each of its band keys
     member = materialize(rows.join(lead, "k").select("x", "v").distinct().join(vertices.select("v", "size"), "v"))
-    groups = materialize(member.groupBy("x").agg(F.count("*").alias("n"), F.sum("size").alias("size")).filter("n > 1"))
+    of = materialize(member.groupBy("v").agg(F.collect_list("x").alias("xs")).join(vertices.select("v", "r", "a", "b", "same"), "v"))
+    sets = materialize(sets_of(of, texts))
+    # first every member against its leader, which settles most groups at a cost linear in their members
+    union = F.col("n") + F.col("m") - F.col("common")
+    near = materialize(led(sets).select("x", "v", (1 - F.col("common") / union).alias("d"), (F.col("common") >= threshold * union - 1e-3).alias("linked")))
+    links = near.filter("linked").select(F.least("x", "v").alias("x"), F.greatest("x", "v").alias("y"))
+    labels = components(links)
+    member = open_groups(member, near, labels, threshold)
+    if not member.limit(1).count():
+        return labels
+    weight = F.col("size") + math.ceil(BLOCK / VERTICES)
+    groups = materialize(member.groupBy("x").agg(F.sum(weight).alias("size")))
     total = groups.agg(F.sum("size")).first()[0]
     packs = math.ceil((total or 0) / BLOCK) + 1
     # a small group goes to a pack of such groups; a large one is cut into blocks, every two of which meet once
@@ -273,13 +344,9 @@ def link_classes(vertices: DataFrame, texts: DataFrame, threshold: float = THRES
     own = F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")
     two = lambda i: F.struct(F.least(own, i).alias("i"), F.greatest(own, i).alias("j"))
     placed = member.join(groups, "x").select("v", "x", F.when(F.col("nb") == 1, F.array(F.struct(F.pmod(F.xxhash64("x"), F.lit(packs)).cast("int").alias("i"), F.lit(-1).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), two)).alias("at"))
-    cells = placed.select("v", F.explode("at").alias("c"), "x").select("v", F.struct(F.when(F.col("c.j") < 0, F.lit(0)).otherwise(F.col("x")).alias("g"), "c.i", "c.j", "x").alias("p"))
-    # a vertex has few leaders, at most one for each of its band keys
-    of = materialize(cells.groupBy("v").agg(F.collect_list("p").alias("ps")).join(vertices.select("v", "r", "a", "b"), "v"))
-    chosen = texts.join(broadcast_if_small(of), ["r", "a", "b"]).groupBy("v").agg(F.first("t").alias("t"), F.first("ps").alias("ps"))
-    ready = chosen.select("v", shingle_set(F.col("t")).alias("s"), "ps").select("v", "s", F.explode("ps").alias("p")).select("v", "s", "p.*")
-    found = ready.groupBy("g", "i", "j").applyInArrow(lambda t: links_within(t, threshold), "x bigint, y bigint")
-    return components(found)
+    cells = placed.select("v", F.explode("at").alias("c"), "x").select("v", F.when(F.col("c.j") < 0, F.lit(0)).otherwise(F.col("x")).alias("g"), "c.i", "c.j", "x")
+    found = cells.join(sets.select("v", "s"), "v").groupBy("g", "i", "j").applyInArrow(lambda t: links_within(t, threshold), "x bigint, y bigint")
+    return components(links.unionByName(found))
 
 
 def address(text: Column) -> Column:
@@ -300,6 +367,9 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold:
     # one vertex for each distinct text: the row of least number
     rows = hashed.join(repeated, ["a", "b"], "left").withColumns({"r": F.coalesce("r", "v"), "u": F.coalesce("u", "w")})
     first = rows.filter("u = w AND keys IS NOT NULL").select(F.col("w").alias("v"), "r", "a", "b", "keys", "size")
+    # how many rows have both the least id and the text
+    same = materialize(hashed.join(repeated, ["a", "b"]).filter("v = r").groupBy("a", "b").agg(F.count("*").alias("same")))
+    first = first.join(same, ["a", "b"], "left").withColumn("same", F.coalesce("same", F.lit(1)))
     texts = docs.select(v.alias("r"), key["a"].alias("a"), key["b"].alias("b"), F.col(text).alias("t"))
     labels = link_classes(first, texts, threshold)
     # a class is named by the least of its texts
