@@ -10,14 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import decontam, lang_id, near_dedup, queries, secrets
-from tidegate.llm._common import broadcast_if_small, materialize, shared_dir, table, text_key
+from tidegate.llm._common import broadcast_if_small, materialize, scratch, shared_dir, table, text_key
+
+
+#: Languages that stay; None: all that the labelled documents teach.
+LANGUAGES: tuple[str, ...] | None = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised language stay; those without a letter (``und``) go."""
+    """Documents of a recognised language (of LANGUAGES, if these are named) stay, those without a letter (``und``) go; a null ``lang`` becomes the language recognised."""
     shared_dir(spark)
     model = lang_id.train(docs)
-    return docs.withColumn("__p", lang_id.predicted(F.col("text"), model)).filter(F.col("__p.lang") != "und").drop("__p")
+    # a filter is not pushed below an explode, where it would predict once more
+    found = docs.withColumn("__p", F.explode_outer(F.array(lang_id.predicted(F.col("text"), model)))).filter(F.col("__p.lang") != "und")
+    if LANGUAGES is not None:
+        found = found.filter(F.col("__p.lang").isin(*LANGUAGES))
+    return found.select(*[F.coalesce("lang", "__p.lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +54,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with its secrets masked."""
-    found = secrets.scan_documents(docs.withColumns({"__text": F.col("text")}), [*docs.columns, "__text"])
-    text = secrets.redact(F.col("__text"), F.col("spans"))
-    n = F.when(F.size("spans") > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars"))
+    found = secrets.scan_documents(docs.withColumns({"__text": F.col("text")}), [*docs.columns, "__text"], names=("__address", "__secrets"))
+    text = secrets.redact(F.col("__text"), F.col("__secrets"))
+    n = F.when(F.size("__secrets") > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars"))
     return found.select(*[text.alias("text") if c == "text" else n.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
@@ -65,10 +73,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of a data folder."""
+    """All stages on the documents of a data folder. What a stage wrote on its way goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as kept:
+            docs = kept(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
