@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import brute_classes, brute_contamination, brute_secrets, prose
@@ -54,3 +55,32 @@ def test_near_dedup_keeps_null_and_repeated_ids(spark, tmp_path):
     got = sorted(r.text for r in out)
     some = [texts[3], texts[3] + " more"]
     assert got in [sorted([*texts[:3], *texts[4:8], s]) for s in some]
+
+
+def test_language_predicts_once_and_fills_null_languages(spark, folder):
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    out = corpus_pipeline.language(spark, docs, path)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan
+    assert out.filter("lang IS NULL").count() == 0
+
+
+def test_stages_pass_clashing_columns(spark, folder):
+    path, rows, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({c: F.lit(c) for c in ("spans", "blob", "a", "b", "v", "keys", "n_words", "items", "label", "h", "id")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert docs.columns[-11:] == ["spans", "blob", "a", "b", "v", "keys", "n_words", "items", "label", "h", "id"]
+    assert docs.select("spans", "blob").distinct().collect() == [("spans", "blob")]
+
+
+def test_scratch_tables_go(spark, folder):
+    import os
+
+    path, _, _ = folder
+    top = spark.conf.get("spark.checkpoint.dir")
+    tables = lambda: {d for _, ds, _ in os.walk(top) for d in ds if len(d) == 32}
+    before = tables()
+    assert corpus_pipeline.run(spark, path).count()
+    assert len(tables() - before) == 4  # what each stage but the last kept
