@@ -350,6 +350,25 @@ def test_blocks_when_no_member_is_near_the_leader(spark, monkeypatch):
     assert out == brute_classes(rows)
 
 
+def test_hot_groups_are_dealt_over_parts(spark, monkeypatch):
+    """Many copies, a band key of all texts and leaders of many members, each met in several parts."""
+    rng = random.Random(31)
+    rows = []
+    for g in range(4):
+        base = prose(rng, 80).split()
+        for _ in range(8):
+            w = list(base)
+            w[rng.randrange(80)] = f"g{g}w{rng.randrange(4)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(100 + k, rows[0][1]) for k in range(9)]
+    monkeypatch.setattr(near_dedup, "MEMBERS", 2)
+    bands = near_dedup.band_keys
+    monkeypatch.setattr(near_dedup, "band_keys", lambda text: F.concat(bands(text), F.array(F.lit(1).cast("bigint"))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert out == brute_classes(rows)
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     rng = random.Random(14)
     base = [prose(rng, 80) for _ in range(4)]

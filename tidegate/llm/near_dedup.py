@@ -46,6 +46,8 @@ M = BANDS * ROWS
 LAST = 2**63 - 1
 #: Characters and texts handled at once; shingles and vertices of a block of a large group, and cells of a matrix; about how many letters a word has.
 SLICE, TEXTS, BLOCK, VERTICES, CELLS, LETTERS = 1 << 19, 1000, 400_000, 1000, 4_000_000, 5
+#: Rows of one text, band key or leader that a task takes; those of a larger group are dealt over parts.
+MEMBERS = 2_000
 #: Slack of comparisons of similarities, above what rounding can make.
 SLACK = 2e-3
 U = np.uint64
@@ -287,11 +289,27 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def led(sets: DataFrame) -> DataFrame:
-    """(x, v, common, n, m) of every member but the leader itself: shingles that it shares with the leader, and how many each has. ``sets`` has (v, s, xs), xs the leaders of v."""
+def parts_of(counts: DataFrame, *key: str) -> DataFrame:
+    """(key, p) of the groups of more than MEMBERS rows (n), which are dealt over p parts. At most one row for each MEMBERS rows."""
+    large = counts.filter(F.col("n") > MEMBERS).select(*key, F.ceil(F.col("n") / MEMBERS).cast("int").alias("p"))
+    return broadcast_if_small(materialize(large))
+
+
+def dealt(rows: DataFrame, parts: DataFrame, key: list[str], by: str) -> DataFrame:
+    """Rows with the part z of their group that they fall into, by the hash of a column."""
+    return rows.join(parts, key, "left").withColumn("z", F.pmod(F.xxhash64(by), F.coalesce("p", F.lit(1))).cast("int")).drop("p")
+
+
+def spread(groups: DataFrame, parts: DataFrame, key: list[str]) -> DataFrame:
+    """A row of each group for each of its parts z."""
+    return groups.join(parts, key, "left").withColumn("z", F.explode(F.sequence(F.lit(0), F.coalesce("p", F.lit(1)) - 1))).drop("p")
+
+
+def led(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(x, v, common, n, m) of every member but the leader itself: shingles that it shares with the leader, and how many each has. ``sets`` has (v, s, xs), xs the leaders of v; ``parts`` are those of leaders."""
     leader = sets.filter(F.array_contains("xs", F.col("v"))).select(F.col("v").alias("x"), F.col("s").alias("l"))
     members = sets.select("v", "s", F.explode(F.array_remove("xs", F.col("v"))).alias("x"))
-    return members.join(leader, "x").select("x", "v", F.size(F.array_intersect("s", "l")).alias("common"), F.size("s").alias("n"), F.size("l").alias("m"))
+    return dealt(members, parts, ["x"], "v").join(spread(leader, parts, ["x"]), ["x", "z"]).select("x", "v", F.size(F.array_intersect("s", "l")).alias("common"), F.size("s").alias("n"), F.size("l").alias("m"))
 
 
 def sets_of(vertices: DataFrame, texts: DataFrame) -> DataFrame:
@@ -303,8 +321,8 @@ def sets_of(vertices: DataFrame, texts: DataFrame) -> DataFrame:
     return once.select("v", shingle_set(F.col("t")).alias("s"), "xs")
 
 
-def open_groups(member: DataFrame, near: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(x, v, size) of what is still to be compared within groups: pairs of different labels, but for pairs that their distances to the leader part.
+def open_groups(member: DataFrame, near: DataFrame, labels: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """(x, z, v, size) of what is still to be compared within groups: pairs of different labels, but for pairs that their distances to the leader part.
 
     Jaccard distance is a metric, so a pair can be linked only if its distances to the leader differ by at most 1 -
     threshold. Members of the leader's label that are nearer to it than that from all of the others thus drop out."""
@@ -312,26 +330,30 @@ def open_groups(member: DataFrame, near: DataFrame, labels: DataFrame, threshold
     rows = label.join(near.select("x", "v", "d"), ["x", "v"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     rows = materialize(rows)
     own = rows.filter("x = v").select("x", F.col("label").alias("own"))
-    groups = rows.join(own, "x").filter("label <> own").groupBy("x", "own").agg(F.min("d").alias("least"))
-    rows = materialize(rows.join(groups, "x").filter((F.col("label") != F.col("own")) | (F.col("d") >= F.col("least") - (1 - threshold) - SLACK)))
+    groups = rows.join(spread(own, parts, ["x"]), ["x", "z"]).filter("label <> own").groupBy("x", "own").agg(F.min("d").alias("least"))
+    rows = materialize(rows.join(spread(groups, parts, ["x"]), ["x", "z"]).filter((F.col("label") != F.col("own")) | (F.col("d") >= F.col("least") - (1 - threshold) - SLACK)))
     left = rows.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("x")
-    return materialize(rows.join(left, "x").select("x", "v", "size"))
+    return materialize(rows.join(spread(left, parts, ["x"]), ["x", "z"]).select("x", "z", "v", "size"))
 
 
 def link_classes(vertices: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(v, label) for vertices (v, r, a, b, same, keys, size) that have a link to another. ``texts`` has (r, a, b, t); the text of a vertex is that of its id and address."""
     rows = vertices.select("v", F.explode("keys").alias("k"))
-    lead = rows.groupBy("k").agg(F.min("v").alias("x"), F.count("*").alias("n")).filter("n > 1").select("k", "x")
+    lead = materialize(rows.groupBy("k").agg(F.min("v").alias("x"), F.count("*").alias("n")).filter("n > 1"))
+    # a band key of very many vertices is met in parts, and so is a leader of very many members below
+    common = parts_of(lead, "k")
+    found = dealt(rows, common, ["k"], "v").join(spread(lead.select("k", "x"), common, ["k"]), ["k", "z"])
     # a vertex has few leaders, at most one for each of its band keys
-    member = materialize(rows.join(lead, "k").select("x", "v").distinct().join(vertices.select("v", "size"), "v"))
+    member = materialize(found.select("x", "v").distinct().join(vertices.select("v", "size"), "v"))
+    parts = parts_of(member.groupBy("x").agg(F.count("*").alias("n")), "x")
     of = materialize(member.groupBy("v").agg(F.collect_list("x").alias("xs")).join(vertices.select("v", "r", "a", "b", "same"), "v"))
     sets = materialize(sets_of(of, texts))
     # first every member against its leader, which settles most groups at a cost linear in their members
     union = F.col("n") + F.col("m") - F.col("common")
-    near = materialize(led(sets).select("x", "v", (1 - F.col("common") / union).alias("d"), (F.col("common") >= threshold * union - 1e-3).alias("linked")))
+    near = materialize(led(sets, parts).select("x", "v", (1 - F.col("common") / union).alias("d"), (F.col("common") >= threshold * union - 1e-3).alias("linked")))
     links = near.filter("linked").select(F.least("x", "v").alias("x"), F.greatest("x", "v").alias("y"))
     labels = components(links)
-    member = open_groups(member, near, labels, threshold)
+    member = open_groups(dealt(member, parts, ["x"], "v"), near, labels, parts, threshold)
     if not member.limit(1).count():
         return labels
     weight = F.col("size") + math.ceil(BLOCK / VERTICES)
@@ -343,7 +365,7 @@ def link_classes(vertices: DataFrame, texts: DataFrame, threshold: float = THRES
     groups = groups.select(F.col("x"), blocks.alias("nb"))
     own = F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")
     two = lambda i: F.struct(F.least(own, i).alias("i"), F.greatest(own, i).alias("j"))
-    placed = member.join(groups, "x").select("v", "x", F.when(F.col("nb") == 1, F.array(F.struct(F.pmod(F.xxhash64("x"), F.lit(packs)).cast("int").alias("i"), F.lit(-1).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), two)).alias("at"))
+    placed = member.join(spread(groups, parts, ["x"]), ["x", "z"]).select("v", "x", F.when(F.col("nb") == 1, F.array(F.struct(F.pmod(F.xxhash64("x"), F.lit(packs)).cast("int").alias("i"), F.lit(-1).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), two)).alias("at"))
     cells = placed.select("v", F.explode("at").alias("c"), "x").select("v", F.when(F.col("c.j") < 0, F.lit(0)).otherwise(F.col("x")).alias("g"), "c.i", "c.j", "x")
     found = cells.join(sets.select("v", "s"), "v").groupBy("g", "i", "j").applyInArrow(lambda t: links_within(t, threshold), "x bigint, y bigint")
     return components(links.unionByName(found))
@@ -363,20 +385,21 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold:
     # rows are numbered as they are written
     hashed = materialize(hashed.withColumn("w", F.monotonically_increasing_id()))
     copies = materialize(hashed.groupBy("a", "b").agg(F.min("v").alias("r"), F.min("w").alias("u"), F.count("*").alias("n")))
-    repeated = copies.filter("n > 1").select("a", "b", "r", "u")
+    parts = parts_of(copies, "a", "b")
+    repeated = spread(copies.filter("n > 1"), parts, ["a", "b"])
     # one vertex for each distinct text: the row of least number
-    rows = hashed.join(repeated, ["a", "b"], "left").withColumns({"r": F.coalesce("r", "v"), "u": F.coalesce("u", "w")})
+    rows = dealt(hashed, parts, ["a", "b"], "w").join(repeated, ["a", "b", "z"], "left").withColumns({"r": F.coalesce("r", "v"), "u": F.coalesce("u", "w")})
     first = rows.filter("u = w AND keys IS NOT NULL").select(F.col("w").alias("v"), "r", "a", "b", "keys", "size")
     # how many rows have both the least id and the text
-    same = materialize(hashed.join(repeated, ["a", "b"]).filter("v = r").groupBy("a", "b").agg(F.count("*").alias("same")))
+    same = materialize(rows.filter("n > 1 AND v = r").groupBy("a", "b").agg(F.count("*").alias("same")))
     first = first.join(same, ["a", "b"], "left").withColumn("same", F.coalesce("same", F.lit(1)))
     texts = docs.select(v.alias("r"), key["a"].alias("a"), key["b"].alias("b"), F.col(text).alias("t"))
     labels = link_classes(first, texts, threshold)
     # a class is named by the least of its texts
     named = materialize(first.select(F.col("v").alias("u"), "r", "a", "b").join(labels.withColumnRenamed("v", "u"), "u"))
     least = named.groupBy("label").agg(F.min(F.struct("r", "a", "b")).alias("c"))
-    named = named.select("u", "label").join(least, "label").select("u", "c")
-    out = rows.select("id", "v", "a", "b", "r", "u").join(named, "u", "left").withColumn("c", F.coalesce("c", F.struct("r", "a", "b")))
+    named = spread(named.join(least, "label"), parts, ["a", "b"]).select("u", "z", "c")
+    out = rows.select("id", "v", "a", "b", "r", "u", "z").join(named, ["u", "z"], "left").withColumn("c", F.coalesce("c", F.struct("r", "a", "b")))
     return out.select("id", "v", "a", "b", "r", F.col("c.r").alias("cv"), F.col("c.a").alias("ca"), F.col("c.b").alias("cb"))
 
 
