@@ -31,16 +31,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each class of near duplicates stays: one row of the class's least id and text."""
     found = materialize(near_dedup.classes(docs))
-    stay = found.filter("v = cv AND a = ca AND b = cb").groupBy(F.col("v").alias("__v"), F.col("a").alias("__a"), F.col("b").alias("__b")).agg(F.count("*").alias("__n"))
-    stay = materialize(stay)
+    own = F.col("a").eqNullSafe(F.col("ca")) & F.col("b").eqNullSafe(F.col("cb"))
+    texts = found.groupBy("a", "b").agg(F.max(own).alias("own"), F.min("cv").alias("v"), F.count("*").alias("n"), F.count_if(F.col("v") == F.col("cv")).alias("same"))
+    # only texts that have copies or are near ones: the others stay without being listed
+    touched = materialize(texts.filter("n > 1 OR NOT own").select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.when(F.col("own"), F.col("v")).alias("__stay"), F.col("same").alias("__n")))
     key = near_dedup.address(F.col("text"))
     rows = docs.withColumns({"__v": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(near_dedup.LAST)), "__a": key["a"], "__b": key["b"]})
-    out = rows.join(broadcast_if_small(stay), ["__v", "__a", "__b"])
-    if not stay.filter("__n > 1").limit(1).count():
+    out = rows.join(broadcast_if_small(touched), ["__a", "__b"], "left").filter("__n IS NULL OR __v = __stay")
+    if not touched.filter("__n > 1 AND __stay IS NOT NULL").limit(1).count():
         return out.select(*docs.columns)
     # of rows of the same id and text, the least by all columns
     one = out.filter("__n > 1").groupBy("__v", "__a", "__b").agg(F.min(F.struct(*docs.columns)).alias("__r")).select("__r.*")
-    return out.filter("__n = 1").select(*docs.columns).unionByName(one)
+    return out.filter("coalesce(__n, 1) = 1").select(*docs.columns).unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
