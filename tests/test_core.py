@@ -347,3 +347,88 @@ def test_fuel_ends_evaluation(spark):
 def test_double_extension_ends_with_the_path(spark):
     got = {r.d: r.h for r in spark.createDataFrame([(x,) for x in ("/v.py.php", "/config.inc.php", "/lib.so.1", "/a.php.jpg", "/x.php.tar.gz")], "d string").select("d", named_predicate("double_extension", F.col("d"), F.col("d")).hit.alias("h")).collect()}
     assert got == {"/v.py.php": False, "/config.inc.php": False, "/lib.so.1": False, "/a.php.jpg": True, "/x.php.tar.gz": True}
+
+
+def wire(*fields):
+    """A protobuf message of (number, value) pairs."""
+    out = b""
+    for n, v in fields:
+        v = v.encode() if isinstance(v, str) else v
+        out += bytes([n << 3]) + (bytes([v]) if v < 128 else bytes([v & 127 | 128, v >> 7])) if isinstance(v, int) else bytes([n << 3 | 2, len(v)]) + v
+    return out
+
+
+def test_descriptor_sets():
+    part = lambda name, number, kind, sub="", of="": wire((1, name), *([(2, of)] if of else []), (3, number), (5, kind), *([(6, sub)] if sub else []))
+    inner = wire((1, "In"), (2, part("k", 1, 5)))
+    req = wire((1, "Req"), (2, part("s", 1, 9)), (2, part("m", 2, 11, ".shop.Req.In")), (2, part("e", 3, 14, ".shop.Kind")), (2, part("again", 4, 11, ".shop.Req")), (3, inner))
+    service = wire((1, "Orders"), (2, wire((1, "Get"), (2, ".shop.Req"), (3, ".shop.Req"))))
+    file = wire((1, "a.proto"), (2, "shop"), (4, req), (6, service))
+    other = wire((2, "else"), (7, part("x", 200, 8, of=".shop.Req")))
+    data = b"\x0a" + bytes([len(file) & 127 | 128, len(file) >> 7]) + file if len(file) > 127 else wire((1, file))
+    ops = api_import.grpc_services(api_import.descriptor_set(data + wire((1, other))))
+    kinds = {f.name: f.kind for f in ops[0].body}
+    assert ops[0].path == "/shop.Orders/Get" and [kinds[k] for k in ("1", "2.1", "3", "200", "4.4.1")] == ["string", "integer", "integer", "boolean", "string"]
+    assert max(k.count(".") for k in kinds) <= api_import.MESSAGE_DEPTH + 1 and api_import.descriptor_set(b"") == []
+    for bad in (b"\x0a", b"\x0a\x05ab", b"\xff" * 12, data[:-1]):
+        with pytest.raises(api_import.ContractError):
+            api_import.descriptor_set(bad)
+
+
+def test_resolvers_are_read_only_where_a_rule_needs_them(spark):
+    called = []
+
+    def geo(s):
+        called.append("geo")
+        return s.createDataFrame([("10.0.0.1", "cc", "xx"), ("10.0.0.1", "cc", "xx"), ("10.0.0.1", "as", "5"), ("10.0.0.2", "cc", "yy"), ("10.0.0.3", "cc", None), (None, "cc", "xx")], "remote_addr string, key string, value string")
+
+    def unused(s):
+        raise AssertionError("no rule reads it")
+
+    t = tx.transactions(spark.createDataFrame([(1, "10.0.0.1"), (2, "10.0.0.2"), (3, "10.0.0.3"), (4, None)], "tx_id long, remote_addr string"))
+    try:
+        tx.register_resolver("geo", geo, "remote_addr")
+        tx.register_resolver("ge", unused, "remote_addr")
+        rules = [Rule(1, 1, (Target("RESOLVED", "geo.cc"),), Op("contains", ("xx",))), Rule(2, 2, (Target("RESOLVED", "geo"),), Op("rx", ("^[0-9]+$",)))]
+        plan, values = model.compile_rules(rules), tx.explode_values(t, bodies=False)
+        every = tx.with_resolved(values, t, plan)
+        assert called == ["geo"]
+        hits = match(every, plan, fork=False)
+        assert sorted((r.tx_id, r.rule_id) for r in hits.collect()) == [(1, 1), (1, 2)]
+        assert every.filter("target = 'RESOLVED'").count() == 3
+        assert [r.key for r in tx.with_resolved(values, t, plan, most=1).filter("target = 'RESOLVED' AND tx_id = 1").collect()] == ["geo.as"]
+        none = model.compile_rules([Rule(3, 1, (Target("ARGS"),), Op("contains", ("xx",)))])
+        assert tx.with_resolved(values, t, none).count() == values.count()
+    finally:
+        tx.RESOLVERS.clear()
+
+
+def test_replay_reflects_bodies(spark):
+    from tidegate.plans import conformance
+
+    assert conformance.reflected('{"body" : "a "b" c"}') == 'a "b" c' and conformance.reflected('{"x":"body"}') is None and conformance.reflected(None) is None and conformance.reflected('{"body":1}') is None
+    text = """
+rule_id: 9
+tests:
+  - {test_id: 1, stages: [{input: {method: POST, uri: "/reflect", data: '{"body":"leak of KEYWORD here"}'}, output: {log: {expect_ids: [77]}}}]}
+  - {test_id: 2, stages: [{input: {method: POST, uri: "/reflect", data: '{"text":"leak of KEYWORD here"}'}, output: {log: {no_expect_ids: [77]}}}]}
+"""
+    plan = model.compile_rules([Rule(77, 4, (Target("RESPONSE_BODY"),), Op("contains", ("KEYWORD",)), (), (Action("block"),), "critical")])
+    for mode in ("detection", "rule_id"):
+        assert {r.name: r.outcome for r in conformance.replay(spark, conformance.load(text), plan, mode).collect()} == {"9-1": "pass", "9-2": "pass"}
+
+
+def test_rule_files_become_tables_with_negation(spark, tmp_path, capsys):
+    from tidegate import cli
+
+    src, out = tmp_path / "r.conf", str(tmp_path / "rules")
+    src.write_text('SecRule ARGS "!@rx ^[a-z]+$" "id:1000005,phase:2,deny,status:418,t:lowercase,severity:ERROR,msg:odd,tag:a"\nSecRule ARGS "@pm foo bar" "id:1000006,phase:2,pass"\n')
+    assert cli.main(["import", str(src), "--out", out]) == 0
+    back, rules = cli._rules(out), seclang.parse(src.read_text())[0]
+    assert [(r.id, r.op.name, r.op.args, r.op.negated, r.transforms, r.actions, r.severity, r.targets, r.msg, r.tags) for r in back] == [(r.id, r.op.name, tuple(map(str, r.op.args)), r.op.negated, r.transforms, r.actions, r.severity, r.targets, r.msg, r.tags) for r in rules]
+    assert back[0].op.negated and not back[1].op.negated
+    fired = [{(r.tx_id, r.rule_id) for r in run(spark, x_rules, ["abc", "a1", "foo 1"], fork=False).collect()} for x_rules in (rules, back)]
+    assert fired[0] == fired[1] and cli.main(["lint", "--rules", out, "--max-unconditional", "9"]) == 0
+    src.write_text(src.read_text() * 2)
+    capsys.readouterr()
+    assert cli.main(["import", str(src), str(src), "--out", out]) == 1 and "duplicate id" in capsys.readouterr().out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -14,6 +15,8 @@ from tidegate.plans import core_rules, model, seclang
 def _rules(path: str | None) -> list[model.Rule]:
     if not path:
         return core_rules.default_rules()
+    if os.path.isdir(path):
+        return model.rules_from_frame(SparkSession.builder.getOrCreate().read.parquet(path))
     with open(path, encoding="utf-8") as f:
         return seclang.parse(f.read())[0]
 
@@ -77,13 +80,22 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("import")
     s.add_argument("files", nargs="+")
     s.add_argument("--strict", action="store_true")
+    s.add_argument("--out", help="write the rules as a table (Parquet), for --rules of the other commands")
     a = p.parse_args(argv)
     if a.command == "import":
+        taken: list[model.Rule] = []
         for path in a.files:
             with open(path, encoding="utf-8") as f:
                 rules, report = seclang.parse(f.read(), a.strict)
             print(f"{path}: {len(rules)} rules, {len(report.skipped)} skipped")
             print("\n".join(f"  {d} {i}: {why}" for d, i, why in report.skipped))
+            taken += rules
+        if a.out:
+            faults = model.validate(taken)
+            if faults:
+                print("\n".join(faults))
+                return 1
+            model.rules_frame(SparkSession.builder.getOrCreate(), taken).coalesce(1).write.mode("overwrite").parquet(a.out)
         return 0
     if a.command == "lint":
         text, good = lint(_rules(a.rules), a.max_unconditional)

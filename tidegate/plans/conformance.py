@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,18 @@ from pyspark.sql import functions as F
 from tidegate.plans.model import Plan
 from tidegate.sources.transactions import NAMED
 
-CASE = f"tx_id bigint, name string, method string, target string, headers {NAMED}, body binary, expects_block boolean, expected array<bigint>, forbidden array<bigint>, skipped boolean"
+CASE = f"tx_id bigint, name string, method string, target string, headers {NAMED}, body binary, response_status int, response_headers {NAMED}, response_body binary, expects_block boolean, expected array<bigint>, forbidden array<bigint>, skipped boolean"
 #: What a replay cannot judge.
 SKIPS = ("raw_request", "encoded_request", "follow_redirect", "save_cookie")
 
 
+def reflected(data: str | None) -> str | None:
+    """What a reflecting origin answers to a body of the form {"body": "..."}: all up to the last quote, since such bodies need not be JSON."""
+    _, key, rest = (data or "").partition('"body"')
+    found = re.match(r'(?s)[: \t]*"(.*)"', rest) if key else None
+    return found[1] if found else None
+
+
 def load(text: str) -> list[tuple]:
     """Rows of CASE, one for each stage of each test of a YAML document."""
     import yaml
@@ -34,10 +42,12 @@ def load(text: str) -> list[tuple]:
                 uri = urlsplit(given.get("uri") or "/")
                 target = (uri.path or "/") + (f"?{uri.query}" if uri.query else "")
                 skipped = any(given.get(k) for k in SKIPS) or bool(want.get("response_contains"))
-                data = given.get("data")
+                data = given.get("data") or given.get("encoded_data")
+                answer = reflected(None if data is None else str(data))
+                response = (None, None, None) if answer is None else (200, [("Content-Type", "text/html")], bytearray(answer.encode()))
                 headers = [(str(n), str(v)) for n, v in (given.get("headers") or {}).items()]
                 name = f"{doc.get('rule_id', '')}-{test.get('test_id', test.get('test_title', ''))}"
-                out.append((len(out), name, given.get("method") or "GET", target, headers, bytearray(str(data).encode()) if data is not None else None, blocks, expected, forbidden, skipped))
+                out.append((len(out), name, given.get("method") or "GET", target, headers, bytearray(str(data).encode()) if data is not None else None, *response, blocks, expected, forbidden, skipped))
     return out
 
 
@@ -48,7 +58,7 @@ def replay(spark: SparkSession, cases: list[tuple], plan: Plan, mode: str = "det
     from tidegate.sources import transactions as tx
 
     df = spark.createDataFrame(cases, CASE)
-    hits = match(tx.explode_values(tx.transactions(df)), plan).persist()
+    hits = match(tx.explode_values(tx.transactions(df)), plan)
     fired = hits.groupBy("tx_id").agg(F.collect_set("rule_id").alias("fired"))
     blocked = decide.decide(hits).select("tx_id", (F.col("verdict") == "block").alias("blocked"))
     rows = df.join(fired, "tx_id", "left").join(blocked, "tx_id", "left")

@@ -6,7 +6,7 @@ the phase at which they are there (arrived).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.text import lowercase
@@ -130,16 +130,45 @@ def explode_values(tx: DataFrame, keep: tuple[str, ...] = ("tx_id",), line: bool
     return rows.select(*keep, "path", "value_seq", "__v.*", F.lit(False).alias("inert"))
 
 
-def resolved(tx: DataFrame, side: DataFrame, name: str, on: str, key: str, value: str, keep: tuple[str, ...] = ("tx_id",)) -> DataFrame:
-    """RESOLVED values of a side table (the frame of a resolver), joined on a column of the transactions."""
-    s = side.select(F.col(on).alias("__on"), F.col(key).cast("string").alias("__k"), F.col(value).cast("string").alias("data"))
+def resolved(tx: DataFrame, side: DataFrame, name: str, on: str, key: str, value: str, keep: tuple[str, ...] = ("tx_id",), order: str | None = None) -> DataFrame:
+    """RESOLVED values of a side table (the frame of a resolver), joined on a column of the transactions. A column ``order`` of the side goes along."""
+    s = side.select(F.col(on).alias("__on"), F.col(key).cast("string").alias("__k"), F.col(value).cast("string").alias("data"), *([F.col(order).alias("n")] if order else []))
     coded = (F.length("data") >= 64) & F.col("data").rlike(r"^[A-Za-z0-9+/_-]+={0,2}\z")
     plain = F.rtrim(F.translate("data", "-_=", "+/ "))  # encoded values are decoded, in either alphabet
     full = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "=")
     s = s.withColumn("data", F.when(coded & (F.length(plain) % 4 != 1), F.decode(F.unbase64(full), "ISO-8859-1")).otherwise(F.col("data")))
     rows = tx.join(s, tx[on] == F.col("__on"))
     k = F.when(F.coalesce("__k", F.lit("")) == "", F.lit(name)).otherwise(F.concat(F.lit(name + "."), "__k"))
-    return rows.select(*keep, F.lit(1).alias("arrived"), F.lit("RESOLVED").alias("target"), k.alias("key"), "data", F.lit(False).alias("inert"))
+    return rows.select(*keep, F.lit(1).alias("arrived"), F.lit("RESOLVED").alias("target"), k.alias("key"), "data", F.lit(False).alias("inert"), *(["n"] if order else []))
+
+
+#: Where values of side inputs stand among a transaction's values: after all others.
+AFTER_VALUES = 1 << 30
+#: Side inputs by name: (function of the session to a frame, join column, key column, value column).
+RESOLVERS: dict = {}
+
+
+def register_resolver(name: str, side, on: str, key: str = "key", value: str = "value") -> None:
+    """Add a side input. ``side`` maps a session to a frame; it is called only for plans that read the name."""
+    RESOLVERS[name] = (side, on, key, value)
+
+
+def with_resolved(values: DataFrame, tx: DataFrame, plan, keep: tuple[str, ...] = ("tx_id",), most: int = MAX_ARGS) -> DataFrame:
+    """Values with those of the registered side inputs that rules of a plan read: each is joined once, whatever the phases that read it.
+
+    A side input yields at most ``most`` values for a transaction, the first by key and value; equal rows count once. An
+    input whose join column the transactions lack is an error."""
+    named = [t.name for r in plan.rules for t in r.targets if t.kind == "RESOLVED"]
+    read = lambda n: any(not t or t == n or t.startswith(n + ".") for t in named)
+    for i, name in enumerate(sorted(n for n in RESOLVERS if read(n))):
+        side, on, key, value = RESOLVERS[name]
+        s = side(tx.sparkSession).select(F.col(on).alias("__side"), F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v")).filter("v IS NOT NULL")
+        # cut for each join value, not for each transaction; the limit is applied before the shuffle too
+        s = s.distinct().withColumn("n", F.row_number().over(Window.partitionBy("__side").orderBy("k", "v"))).filter(F.col("n") <= most)
+        found = resolved(tx, s.withColumnRenamed("__side", on), name, on, "k", "v", keep, order="n")
+        found = found.withColumn("value_seq", (F.lit(AFTER_VALUES + i * most) + F.col("n")).cast("int")).drop("n")
+        values = values.unionByName(found.select(*keep, "value_seq", "arrived", "target", "key", "data", "inert"), allowMissingColumns=True)
+    return values
 
 
 def framing(headers: Column) -> Column:
