@@ -432,3 +432,16 @@ def test_rule_files_become_tables_with_negation(spark, tmp_path, capsys):
     src.write_text(src.read_text() * 2)
     capsys.readouterr()
     assert cli.main(["import", str(src), str(src), "--out", out]) == 1 and "duplicate id" in capsys.readouterr().out
+
+
+def test_evasion_tables(spark):
+    from tidegate.suites import evasion
+
+    rows = evasion.judged(spark).collect()
+    passed, alarms = {}, 0
+    for r in rows:
+        if r["class"] is None:
+            alarms += r.blocked
+        elif not r.blocked:
+            passed[r["class"]] = passed.get(r["class"], 0) + 1
+    assert len(evasion.ATTACKS) == 31 and passed == evasion.MISSED and alarms == evasion.FALSE_ALARMS
